@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.license_scan import scan_licenses
+from tessera.llm.piece_sampling import sample_pieces
 from tessera.llm.quality_rules import judge_quality
 from tessera.llm.token_counts import count_tokens
 from tessera.llm.url_filters import filter_urls
@@ -21,6 +22,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -36,6 +41,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_sentencepiece": op2_sentencepiece,
     "op6_token_counts": op6_token_counts,
     "op7_license_scans": op7_license_scans,
     "op8_quality_rules": op8_quality_rules,
