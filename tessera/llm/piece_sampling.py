@@ -13,6 +13,7 @@ No piece reaches over the start of a word, so lattices are built per word and ke
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from typing import Any
@@ -31,10 +32,9 @@ SPACE = "▁"
 SAMPLES = 2
 #: Exponent on piece probabilities: below 1 flattens the choice between segmentations.
 ALPHA = 0.5
-#: Characters that are searched together, lattice nodes a worker keeps, and the longest word whose lattice is kept.
-GROUP_CHARS = 400_000
-CACHE_NODES = 1_500_000
-CACHE_WORD_CHARS = 64
+#: Characters that are searched together, and lattice nodes that a worker keeps.
+GROUP_CHARS = 600_000
+CACHE_NODES = 2_500_000
 
 _NONE = -1
 
@@ -54,6 +54,12 @@ def uniform(seed: np.ndarray, draw: int, place: np.ndarray) -> np.ndarray:
     return ((bits >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
+def extended(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of strings that grow by one code point each."""
+    with np.errstate(over="ignore"):
+        return _mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + codes.astype(np.uint64) + np.uint64(1))
+
+
 class PieceModel:
     """The pieces of a model file with probabilities, and their byte strings for decoding."""
 
@@ -84,7 +90,18 @@ class PieceModel:
         used = [*self.ids.values(), *self.byte_ids.values()]
         self.logs = (alpha * (logs - np.log(np.exp(logs[used]).sum()))).tolist()
         self.longest = max(map(len, self.ids))
-        self.prefixes = {piece[:i] for piece in self.ids for i in range(1, len(piece) + 1)}
+        self._log_array = np.array(self.logs)
+        #: By length: sorted hashes of all pieces' beginnings of that length, with the piece's id or -1.
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        for size in range(1, self.longest + 1):
+            starts = sorted({piece[:size] for piece in self.ids if len(piece) >= size})
+            codes = np.frombuffer("".join(starts).encode("utf-32-le"), np.uint32).reshape(len(starts), size)
+            hashes = np.zeros(len(starts), np.uint64)
+            for i in range(size):
+                hashes = extended(hashes, codes[:, i])
+            order = np.argsort(hashes)
+            assert len(np.unique(hashes)) == len(starts)
+            self.tables.append((hashes[order], np.array([self.ids.get(x, _NONE) for x in starts], np.int32)[order]))
 
     def normalize(self, text: str) -> str:
         return self.processor.normalize(text) if text else ""
@@ -100,8 +117,8 @@ class PieceModel:
 
 
 class Lattices:
-    """Word lattices in flat arrays. Node i's edges carry their summed probabilities as i + cumulated share, so one
-    search in the sorted ``keys`` draws the next edge for any number of nodes at once."""
+    """Word lattices in flat arrays. Node i's edges carry their summed probabilities as i + cumulated share, so the first
+    key above i + u draws the next edge of any number of nodes at once."""
 
     def __init__(self, model: PieceModel) -> None:
         self.model = model
@@ -110,71 +127,93 @@ class Lattices:
     def clear(self) -> None:
         self.first: dict[str, int] = {}
         self.byte_runs: list[list[int]] = []
+        self._run_of: dict[str, tuple[int, float]] = {}
         self.n_nodes = self.n_edges = 0
         self._edges = (np.empty(1024), np.empty(1024, np.int32), np.empty(1024, np.int32), np.empty(1024))
         self._nodes = (np.zeros(1024, np.int32), np.zeros(1024, bool))
 
-    def add(self, words: set[str]) -> None:
-        """Builds the lattices of new words and appends them to the arrays, which double when they are full."""
+    def add(self, words: list[str]) -> None:
+        """Builds the lattices of new words together and appends them to the arrays, which double when they are full."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        text = "".join(words)
+        start, size, ids, value = self._pieces(text, np.repeat(offsets[1:], sizes))
+        order = np.argsort(start, kind="stable")
+        start, size, ids, value = start[order], size[order], ids[order], value[order]
+        # Summed log-probability of all paths from a place to its word's end: places nearest to an end come first.
+        slots = np.repeat(np.arange(len(words)), sizes)  # each word has one more node than characters
+        left = np.repeat(offsets[1:], sizes) - np.arange(len(text))
+        back = np.zeros(len(text) + len(words))
+        here, there = start + slots[start], start + slots[start] + size
+        turn = np.argsort(left[start], kind="stable")
+        bounds = np.searchsorted(left[start][turn], np.arange(1, int(sizes.max()) + 2))
+        for a, b in itertools.pairwise(bounds.tolist()):
+            if a < b:
+                edges = turn[a:b]
+                value[edges] += back[there[edges]]
+                heads = np.flatnonzero(np.diff(here[edges], prepend=-1))
+                back[here[edges[heads]]] = np.logaddexp.reduceat(value[edges], heads)
+        share = value - back[here]
+        heads = np.flatnonzero(np.diff(here, prepend=-1))
+        counts = np.diff(np.append(heads, len(here)))
+        run = np.cumsum(np.exp(share))
+        total = run - np.repeat(np.concatenate([[0.0], run[heads[1:] - 1]]), counts)
+        base = self.n_nodes
+        keys = base + here + np.minimum(total, 1.0)
+        last = np.append(heads[1:], len(here)) - 1
+        keys[last] = base + here[last] + 1.0
+        share[last[counts == 1]] = 0.0
+        per_node = np.zeros(len(text) + len(words), np.int64)
+        per_node[here[heads]] = counts
+        final = np.zeros(len(per_node), bool)
+        final[offsets[1:] + np.arange(len(words))] = True
         nodes, edges = self.n_nodes, self.n_edges
-        self._keys, self._ends, self._ids, self._logs, self._starts, self._last = [], [], [], [], [], []
-        for word in words:
-            self._build(word)
-        self._edges = tuple(self._grown(old, edges, new) for old, new in zip(self._edges, (self._keys, self._ends, self._ids, self._logs), strict=True))
-        starts, final = self._nodes
-        starts, final = self._grown(starts, nodes + 1, self._starts), self._grown(final, nodes, [False] * (self.n_nodes - nodes))
-        starts[0] = 0
-        final[self._last] = True
-        self._nodes = (starts, final)
+        self._edges = tuple(self._grown(old, edges, new) for old, new in zip(self._edges, (keys, base + there, ids, share), strict=True))
+        starts, ends = self._nodes
+        self._nodes = (self._grown(starts, nodes + 1, edges + np.cumsum(per_node)), self._grown(ends, nodes, final))
+        self.first.update(zip(words, (base + offsets[:-1] + np.arange(len(words))).tolist(), strict=True))
+        self.n_nodes += len(per_node)
+        self.n_edges += len(here)
+
+    def _pieces(self, text: str, word_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, id, log-probability) of every piece in the words; ids below -1 stand for runs of bytes."""
+        m = self.model
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at, hashes = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for size, (table, table_ids) in enumerate(m.tables, 1):
+            inside = at + size <= word_end[at]
+            at, hashes = at[inside], hashes[inside]
+            if not len(at):
+                break
+            hashes = extended(hashes, codes[at + size - 1])
+            i = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+            known = table[i] == hashes
+            ids = np.where(known, table_ids[i], _NONE)
+            is_piece = ids >= 0
+            found.append((at[is_piece], np.full(int(is_piece.sum()), size), ids[is_piece], m._log_array[ids[is_piece]]))
+            if size == 1 and not is_piece.all():  # a character that is no piece is written in bytes
+                odd = at[~is_piece]
+                runs = [self._byte_run(text[x]) for x in odd.tolist()]
+                found.append((odd, np.ones(len(odd), np.int64), np.array([r[0] for r in runs], np.int32), np.array([r[1] for r in runs])))
+            at, hashes = at[known], hashes[known]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _byte_run(self, char: str) -> tuple[int, float]:
+        if char not in self._run_of:
+            run = [self.model.byte_ids[b] for b in char.encode()]
+            self.byte_runs.append(run)
+            self._run_of[char] = (-1 - len(self.byte_runs), sum(self.model.logs[b] for b in run))
+        return self._run_of[char]
 
     @staticmethod
-    def _grown(old: np.ndarray, used: int, new: list) -> np.ndarray:
+    def _grown(old: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
         need = used + len(new)
         if need > len(old):
-            old = np.concatenate([old[:used], np.zeros(2 * need - used, old.dtype)])
+            old = np.concatenate([old[:used], np.zeros(max(need, 3 * used // 2) - used, old.dtype)])
         old[used:need] = new
         return old
 
-    def _build(self, word: str) -> None:
-        m, n, base = self.model, len(word), self.n_nodes
-        ids, logs, prefixes, longest = m.ids, m.logs, m.prefixes, m.longest
-        back = [0.0] * (n + 1)  # log of the summed probability of all paths from here to the end
-        edges: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
-        for i in range(n - 1, -1, -1):
-            out = edges[i]
-            for j in range(i + 1, min(n, i + longest) + 1):
-                part = word[i:j]
-                if part not in prefixes:
-                    break
-                k = ids.get(part)
-                if k is not None:
-                    out.append((j, k, logs[k] + back[j]))
-            if not out or out[0][0] != i + 1:  # a character that is no piece is written in bytes
-                run = [m.byte_ids[b] for b in word[i].encode()]
-                self.byte_runs.append(run)
-                out.append((i + 1, -1 - len(self.byte_runs), sum(logs[b] for b in run) + back[i + 1]))
-            top = max(e[2] for e in out)
-            back[i] = top + math.log(sum(math.exp(e[2] - top) for e in out))
-        keys, ends, kinds, shares, starts = self._keys, self._ends, self._ids, self._logs, self._starts
-        for i in range(n):
-            total, node, out = 0.0, base + i, edges[i]
-            for j, k, value in out:
-                share = value - back[i]
-                total += math.exp(share)
-                keys.append(node + total)
-                ends.append(base + j)
-                kinds.append(k)
-                shares.append(share)
-            keys[-1] = node + 1.0
-            if len(out) == 1:
-                shares[-1] = 0.0
-            self.n_edges += len(out)
-            starts.append(self.n_edges)
-        starts.append(self.n_edges)  # the end node has no edges
-        self.first[word] = base
-        self._last.append(base + n)
-        self.n_nodes = base + n + 1
-
     def arrays(self) -> tuple:
         """keys, ends, ids, log shares, first edge of each node, whether a node ends a word."""
         n, (starts, final) = self.n_edges, self._nodes
@@ -234,7 +273,7 @@ class Sampler:
             lat.clear()
             missing = set(words)
         if missing:
-            lat.add(missing)
+            lat.add(sorted(missing))
         keys, ends, ids, logs, starts, final = lat.arrays()
         n_docs = len(group)
         seeds = np.array([s & 0xFFFFFFFFFFFFFFFF for _, s in group], np.uint64)
@@ -252,8 +291,12 @@ class Sampler:
             at, move, doc = at[live], move[live], doc[live]
             while len(at):
                 place = at + move
-                e = np.searchsorted(keys, at + uniform(seeds[doc], draw, place - doc_at[doc]), side="right")
-                e = np.minimum(np.maximum(e, starts[at]), starts[at + 1] - 1)
+                key = at + uniform(seeds[doc], draw, place - doc_at[doc])
+                e = starts[at]
+                more = np.flatnonzero(keys[e] <= key)
+                while len(more):  # nodes have few edges, so stepping through them beats a search of all keys
+                    e[more] += 1
+                    more = more[keys[e[more]] <= key[more]]
                 edge_at[place] = e
                 at = ends[e]
                 live = ~final[at]
@@ -278,6 +321,7 @@ class Sampler:
             edge_new = np.full(total, _NONE, np.int64)
             log_before = np.zeros(total)
             at, move, who = [], [], []
+            left_word = np.full(n_docs, len(node), np.int64)
             begin = np.full(n_docs, total + 1, np.int64)
             for d in open_docs.tolist():
                 path = paths[source[d]]
@@ -299,7 +343,7 @@ class Sampler:
                 u = uniform(seeds[d : d + 1], 30_000 + j, np.array([place - doc_at[d]]))
                 path["value"][i] = truncated_gumbel(np.array([mass]), bound[d : d + 1], u)[0]
                 path["refresh"](d)
-                lo, hi = int(doc_at[d]), int(doc_at[d + 1])
+                lo = int(doc_at[d])
                 edge_new[lo:place] = path["edge_at"][lo:place]
                 edge_new[place] = e
                 log_before[place] = before
@@ -307,12 +351,9 @@ class Sampler:
                 at.append(int(ends[e]))
                 move.append(int(shift[w]))
                 who.append(d)
-                begin_word = w + 1
-                stop = int(np.searchsorted(word_at, hi, side="left"))
-                at += node[begin_word:stop].tolist()
-                move += shift[begin_word:stop].tolist()
-                who += [d] * (stop - begin_word)
-            walk(np.array(at, np.int64), np.array(move, np.int64), np.array(who, np.int64), j, edge_new)
+                left_word[d] = w
+            rest = np.flatnonzero(np.arange(len(node)) > left_word[doc_of_word])  # words after the one it leaves in
+            walk(np.concatenate([np.array(at, np.int64), node[rest]]), np.concatenate([np.array(move, np.int64), shift[rest]]), np.concatenate([np.array(who, np.int64), doc_of_word[rest]]), j, edge_new)
             path = self._path(edge_new, log_before, bound, docs, doc_at, seeds, 1 + j, logs, begin)
             paths.append(path)
             chosen.append((edge_new, path["log_prob"], np.where(np.isneginf(bound), -np.inf, bound)))
@@ -323,9 +364,9 @@ class Sampler:
         """The sets that leave a drawn path at each of its edges, after ``begin``, with their perturbed values."""
         place = np.flatnonzero(edge_at >= 0)
         share = logs[edge_at[place]]
-        doc = np.searchsorted(doc_at, place, side="right") - 1
-        run = np.concatenate([[0.0], np.cumsum(share)])
         first = np.searchsorted(place, doc_at)  # of each document, and the end
+        doc = np.repeat(docs, np.diff(first))
+        run = np.concatenate([[0.0], np.cumsum(share)])
         before = run[:-1] - run[first[doc]]
         log_prob = run[first[1:]] - run[first[:-1]]
         with np.errstate(divide="ignore"):
@@ -352,13 +393,16 @@ class Sampler:
             place = np.flatnonzero(edge_at >= 0)
             found = ids[edge_at[place]]
             first = np.searchsorted(place, doc_at)
-            if (found < 0).any():  # runs of bytes
-                runs = [self.lattices.byte_runs[-2 - x] if x < 0 else None for x in found.tolist()]
-                sizes = np.array([1 if r is None else len(r) for r in runs], np.int64)
+            odd = np.flatnonzero(found < 0)
+            if len(odd):  # runs of bytes
+                runs = [self.lattices.byte_runs[-2 - x] for x in found[odd].tolist()]
+                sizes = np.ones(len(found), np.int64)
+                sizes[odd] = [len(r) for r in runs]
                 grown = np.concatenate([[0], np.cumsum(sizes)])
                 found = np.repeat(found, sizes)
-                for i in np.flatnonzero(sizes != 1).tolist() + [i for i, r in enumerate(runs) if r is not None and len(r) == 1]:
-                    found[grown[i] : grown[i] + len(runs[i])] = runs[i]
+                starts = np.repeat(grown[odd], sizes[odd])
+                step = np.arange(len(starts)) - np.repeat(np.cumsum(sizes[odd]) - sizes[odd], sizes[odd])
+                found[starts + step] = list(itertools.chain.from_iterable(runs))
                 first = grown[first]
             flat.append((found.astype(np.int32), first))
         for d in range(len(doc_at) - 1):
@@ -392,7 +436,7 @@ def sample_pieces(docs: DataFrame, model_path: str, k: int = SAMPLES, alpha: flo
     segmentations gives them all; a null or empty text gives one empty segmentation. The draw depends on the id and
     ``seed``: repeated rows repeat their samples. An empty table gives an empty result.
     """
-    bound_batches(docs.sparkSession, 64)
+    bound_batches(docs.sparkSession)
     keyed = F.xxhash64(F.col(id_col), F.lit(seed))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), keyed.alias("seed"))
     arrow = to_arrow_schema(SCHEMA)
