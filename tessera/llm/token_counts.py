@@ -12,7 +12,6 @@ import json
 import os
 import re
 from collections import Counter
-from typing import Any
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -25,9 +24,10 @@ from tessera.llm.common import arrow_column, bound_batches, keyed_text
 FREQUENT = 50_000
 MAX_PIECE_CHARS = 40
 #: Documents that the frequent table is taken from; any choice gives the same counts.
-TABLE_DOCS = 4_000
+TABLE_DOCS = 2_000
+TABLE_DOC_CHARS = 8_192
 #: Pieces a worker's cache holds before it starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 400_000
 
 
 class TokenCounter:
@@ -104,22 +104,16 @@ def _counter(path: str, table: Broadcast | None) -> TokenCounter:
 
 
 def frequent_pieces(docs: DataFrame, path: str, n: int = FREQUENT, table_docs: int = TABLE_DOCS) -> dict[str, int]:
-    """The token counts of the most frequent pieces among some documents, counted in one task."""
-
-    def top(batches: Any) -> Any:
-        counter, seen = TokenCounter(path), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if counter.by_piece:
-                    seen.update(p for p in counter.pieces(text) if len(p) <= MAX_PIECE_CHARS)
-            if len(seen) > 8 * n:
-                seen = Counter(dict(seen.most_common(4 * n)))
-        pieces = [p for p, _ in seen.most_common(n)]
-        if pieces:
-            yield pa.RecordBatch.from_pydict({"piece": pieces, "n": pa.array(counter.encode(pieces), pa.int32())})
-
-    rows = docs.select("text").limit(table_docs).mapInArrow(top, "piece string, n int").collect()
-    return {r["piece"]: r["n"] for r in rows}
+    """The token counts of the most frequent pieces among some short documents of the first partitions.
+
+    ``take`` reads no more partitions than it needs, and at most TABLE_DOCS * TABLE_DOC_CHARS characters reach the driver.
+    """
+    counter, seen = TokenCounter(path), Counter()
+    if counter.by_piece:
+        for row in docs.filter(F.char_length("text") <= TABLE_DOC_CHARS).select("text").take(table_docs):
+            seen.update(p for p in counter.pieces(row["text"]) if len(p) <= MAX_PIECE_CHARS)
+    pieces = [p for p, _ in seen.most_common(n)]
+    return dict(zip(pieces, counter.encode(pieces), strict=True)) if pieces else {}
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
