@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tessera.checkpoints import ensure_checkpoint_dir
 from tessera.functions.exprs import named_reducer
 from tessera.functions.types import to_type
 
@@ -165,12 +166,14 @@ class Dataset:
         """Adds a contiguous 0-based index, in partition order or by a total order.
 
         Rows get partition-local offsets and one small job counts rows per partition; no partition ever holds all rows.
+        The numbered rows are checkpointed, since the counts hold only for the partitions that were counted.
         """
+        ensure_checkpoint_dir(self.df.sparkSession)
         base = self.df.orderBy(*order_by) if order_by is not None else self.df
         at = F.monotonically_increasing_id()
         part = F.shiftright("__at", _OFFSET_BITS)
         offset = F.col("__at").bitwiseAND(F.lit((1 << _OFFSET_BITS) - 1))
-        numbered = base.withColumn("__at", at)
+        numbered = base.withColumn("__at", at).checkpoint()
         counts = sorted((r[0], r[1]) for r in numbered.groupBy(part.alias("p")).count().collect())
         starts = dict(zip((p for p, _ in counts), itertools.accumulate((n for _, n in counts), initial=0), strict=False))
         if not starts:

@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names in ``spark.checkpoint.dir``; sets a local one only where it names none."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR)
+from tessera.checkpoints import ensure_checkpoint_dir
 
 
 def pagerank(edges: DataFrame, iterations: int, damping: float = 0.85, checkpoint_every: int = 10) -> DataFrame:
