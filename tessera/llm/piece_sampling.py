@@ -13,6 +13,7 @@ No piece reaches over the start of a word, so lattices are built per word and ke
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -268,16 +269,17 @@ class Sampler:
     def _group(self, group: list[tuple[str, int]]) -> Iterator[tuple[list[np.ndarray], list[tuple[float, float, float]]]]:
         lat, k = self.lattices, self.k
         words, counts = self._words([n for n, _ in group])
-        missing = {w for w in words if w not in lat.first}
+        unique = set(words)
+        missing = unique - lat.first.keys()
         if lat.n_nodes + sum(map(len, missing)) > CACHE_NODES:
             lat.clear()
-            missing = set(words)
+            missing = unique
         if missing:
             lat.add(sorted(missing))
         keys, ends, ids, logs, starts, final = lat.arrays()
         n_docs = len(group)
         seeds = np.array([s & 0xFFFFFFFFFFFFFFFF for _, s in group], np.uint64)
-        node = np.fromiter((lat.first[w] for w in words), np.int64, len(words))
+        node = np.fromiter(map(lat.first.__getitem__, words), np.int64, len(words))
         size = np.fromiter(map(len, words), np.int64, len(words))
         word_at = np.concatenate([[0], np.cumsum(size)])  # place of each word in the group's characters
         doc_of_word = np.repeat(np.arange(n_docs), counts)
@@ -442,7 +444,7 @@ def sample_pieces(docs: DataFrame, model_path: str, k: int = SAMPLES, alpha: flo
     arrow = to_arrow_schema(SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(model_path, k, alpha)
+        sampler = _sampler(model_path, k, alpha)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             at = 0
@@ -457,6 +459,12 @@ def sample_pieces(docs: DataFrame, model_path: str, k: int = SAMPLES, alpha: flo
     return rows.mapInArrow(run, SCHEMA)
 
 
+@functools.cache
+def _sampler(path: str, k: int, alpha: float) -> Sampler:
+    """One sampler for all tasks of a worker, so that its lattices are built once."""
+    return Sampler(path, k, alpha)
+
+
 def _result(sampler: Sampler, keys: pa.Array, texts: list[str], seeds: pa.Array, arrow: pa.Schema) -> pa.RecordBatch:
     row, sample, arrays, facts = [], [], [], []
     for i, (found, about) in enumerate(sampler.sample(texts, seeds.to_pylist())):
