@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.plans.pagerank import ensure_checkpoint_dir
+from tessera.checkpoints import ensure_checkpoint_dir
 
 #: Rows that one Arrow batch holds, so that a batch of very long texts still fits in a Python worker.
 BATCH_ROWS = 256
@@ -55,9 +56,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """As :func:`checkpointed`, but as compressed Parquet files in a folder of their own: for tables with texts."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a table for broadcast if a count of at most ``limit`` + 1 of its rows shows that it is small enough."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-__all__ = ["ascii_lower", "arrow_column", "bound_batches", "checkpointed", "ensure_checkpoint_dir", "keyed_text", "small"]
+__all__ = ["ascii_lower", "arrow_column", "bound_batches", "checkpointed", "ensure_checkpoint_dir", "keyed_text", "materialized", "small"]

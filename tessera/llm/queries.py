@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm.chat_format import format_conversations
+from tessera.llm.decontamination import contained_items
 from tessera.llm.license_scan import scan_licenses
+from tessera.llm.line_dedup import dropped_lines
 from tessera.llm.piece_sampling import sample_pieces
 from tessera.llm.quality_rules import judge_quality
 from tessera.llm.token_counts import count_tokens
@@ -26,6 +30,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -39,12 +47,50 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dropped_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.concat_ws(",", F.col("dropped").cast("array<string>")).alias("dropped"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_sentencepiece": op2_sentencepiece,
+    "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_license_scans": op7_license_scans,
     "op8_quality_rules": op8_quality_rules,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_chat_format": op10_chat_format,
 }
 
-ORACLES: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(column: str) -> str:
+    return f"list_filter(regexp_split_to_array(translate(coalesce({column}, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+ORACLES: dict[str, str] = {
+    "op5_decontamination": f"""
+with d as (select distinct doc_id, {_words("text")} as w from documents),
+i as (select distinct item_id, {_words("text")} as w, least(5, len(w)) as n from benchmark),
+ish as (select distinct item_id, w, n, unnest([array_to_string(w[k:k + n - 1], ' ') for k in range(1, len(w) - n + 2)]) as s from i where len(w) > 0),
+dsh as (select distinct doc_id, n, unnest([array_to_string(w[k:k + n - 1], ' ') for k in range(1, len(w) - n + 2)]) as s from d, (select distinct n from i where n > 0)),
+q as (select item_id, w, count(*) as n_shingles from ish group by all),
+m as (select doc_id, item_id, w, count(*) as n_shared from ish join dsh using (n, s) group by all)
+select doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles as containment from m join q using (item_id, w) where n_shared >= 0.8 * n_shingles - 1e-9""",
+    # Every pair of lines of like length; lengths are joined by equality so that no cross join is planned.
+    "op9_line_dedup": r"""
+with t as (select doc_id, string_split(text, chr(10)) as ls from documents),
+o as (select doc_id, unnest(range(len(ls))) as pos, unnest(ls) as line from t),
+e as (select * from o where length(line) >= 20 and not regexp_full_match(line, '[ 	-
+]*')),
+f as (select line, min((doc_id, pos)) as place, length(line) as n from e group by line),
+near as (select distinct b.line from f b join (select line, place, unnest(range(n - 2, n + 3)) as n from f where n >= 40) a on a.n = b.n and a.place < b.place where b.n >= 40 and levenshtein(a.line, b.line) <= 2),
+gone as (select e.doc_id, list(e.pos order by e.pos) as dropped from e join f on e.line = f.line left join near on e.line = near.line where (e.doc_id, e.pos) <> f.place or near.line is not null group by 1)
+select doc_id, coalesce(len(ls), 0) as n_lines, coalesce(len(dropped), 0) as n_dropped, coalesce(array_to_string(dropped, ','), '') as dropped from t left join gone using (doc_id)""",
+}
