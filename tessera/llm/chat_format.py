@@ -23,7 +23,7 @@ _QUOTE = r"^((?:[ \t]*>)+)"
 
 def normalised(line: Column) -> Column:
     """Case, white space and decoration do not matter when a quoted line is compared with its original."""
-    return F.trim(F.regexp_replace(F.lower(line), r"[\s *_`]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[*_`]", ""), r"\s+", " "))
 
 
 def parsed_lines(text: Column) -> Column:

@@ -17,11 +17,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialized
+from tessera.llm.common import checkpointed, materialized, small
 
 MIN_CHARS = 20
 NEAR_MIN_CHARS = 40
-MAX_EDITS = 2
+MAX_EDITS = 1
+#: More than the lines that any text can have.
+PLACES = 2**31
+
+# Letters that are frequent in many languages.
+LETTERS = "entahr"
 
 _BLANK = r"^[\x20\x09-\x0D]*$"
 
@@ -36,14 +41,24 @@ def _eligible(line: Column, min_chars: int) -> Column:
 
 def eligible_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(id, pos, line) of the lines that take part; rows without an id or text have none."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
     lines = rows.select("id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     return lines.filter(_eligible(F.col("line"), min_chars))
 
 
 def first_lines(lines: DataFrame) -> DataFrame:
-    """Each distinct line with its first place; copies are combined before the shuffle."""
-    return lines.groupBy("line").agg(F.min(F.struct("id", "pos")).alias("at"))
+    """Each distinct line with its first place; copies are combined before the shuffle.
+
+    A place is one number, id * PLACES + pos, so that its minimum is kept in place by a hash aggregation.
+    """
+    at = F.col("id").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
+    return lines.groupBy("line").agg(F.min(at).alias("at"))
+
+
+def place_of(at: str) -> tuple[Column, Column]:
+    """(id, pos) of a place; ids may be negative."""
+    pos = F.expr(f"pmod({at}, {PLACES}BD)")
+    return F.expr(f"({at} - pmod({at}, {PLACES}BD)) div {PLACES}BD").cast("long").alias("id"), pos.cast("int").alias("pos")
 
 
 def _start(i: int, length: Column, parts: int) -> Column:
@@ -117,30 +132,51 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     return F.when(F.abs(gap) > edits, F.lit(False)).when((n == 0) | (a == b), F.lit(True)).otherwise(end != 0)
 
 
+def letter_counts(line: Column) -> Column:
+    """Counts of six frequent letters, three bits each (modulo 8)."""
+    n = F.char_length(line)
+    out = F.lit(0).cast("long")
+    for k, letter in enumerate(LETTERS):
+        count = n - F.char_length(F.replace(line, F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(7)).cast("long"), 3 * k))
+    return out
+
+
+def _counts_differ(a: Column, b: Column) -> Column:
+    """A lower bound on the summed difference of the counts; an edit changes the counts by two at most."""
+    out = F.lit(0)
+    for k in range(len(LETTERS)):
+        x, y = F.shiftright(a, 3 * k), F.shiftright(b, 3 * k)
+        out = out + F.least((x - y).bitwiseAND(F.lit(7)), (y - x).bitwiseAND(F.lit(7)))
+    return out
+
+
 def near_pairs(firsts: DataFrame, near_min_chars: int, edits: int) -> DataFrame:
-    """(a, b): places of distinct lines that share a segment, the earlier line first."""
-    long_lines = firsts.filter(F.char_length("line") >= near_min_chars)
-    index = long_lines.select(F.explode(segment_keys(F.col("line"), edits)).alias("key"), F.col("at").alias("a"))
-    probes = long_lines.select(F.explode(probe_keys(F.col("line"), edits)).alias("key"), F.col("at").alias("b"))
-    met = probes.join(index, "key").filter(F.col("a") != F.col("b"))
+    """(a, b): places of distinct lines that share a segment and have about the same letters, the earlier line first.
+
+    Variants of one line that differ in whole words share segments too; their letter counts part them inside the join.
+    """
+    lines = firsts.filter(F.char_length("line") >= near_min_chars).select("at", "line", letter_counts(F.col("line")).alias("counts"))
+    index = lines.select(segment_keys(F.col("line"), edits).alias("keys"), F.col("at").alias("a"), F.col("counts").alias("ca")).select(F.explode("keys").alias("key"), "a", "ca")
+    probes = lines.select(probe_keys(F.col("line"), edits).alias("keys"), F.col("at").alias("b"), F.col("counts").alias("cb")).select(F.explode("keys").alias("key"), "b", "cb")
+    met = probes.join(index, (probes["key"] == index["key"]) & (F.col("a") != F.col("b")) & (_counts_differ(F.col("ca"), F.col("cb")) <= 2 * edits))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_copies(firsts: DataFrame, near_min_chars: int, edits: int) -> DataFrame:
-    """Places of lines that have an earlier line within the threshold, as (id, pos)."""
-    text = firsts.filter(F.col("line").isNotNull() & (F.char_length("line") >= near_min_chars))
-    pairs = near_pairs(firsts, near_min_chars, edits)
-    with_a = pairs.join(text.select(F.col("at").alias("a"), F.col("line").alias("x")), "a")
-    with_b = with_a.join(text.select(F.col("at").alias("b"), F.col("line").alias("y")), "b")
-    found = with_b.filter(within_edits(F.col("x"), F.col("y"), edits))
-    return found.select("b.id", "b.pos").distinct()
+    """Places of lines that have an earlier line within the threshold."""
+    pairs = small(checkpointed(near_pairs(firsts, near_min_chars, edits)))
+    text = firsts.filter(F.char_length("line") >= near_min_chars)
+    with_a = checkpointed(pairs.join(text.select(F.col("at").alias("a"), F.col("line").alias("x")), "a"))
+    with_b = small(with_a).join(text.select(F.col("at").alias("b"), F.col("line").alias("y")), "b")
+    return with_b.filter(within_edits(F.col("x"), F.col("y"), edits)).select(F.col("b").alias("at")).distinct()
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_min_chars: int = NEAR_MIN_CHARS, edits: int = MAX_EDITS) -> DataFrame:
     """(id, kept): sorted numbers of the eligible lines that stay, for each document that keeps any."""
     firsts = materialized(first_lines(eligible_lines(docs, id_col, text_col, min_chars)))
-    places = firsts.select("at.id", "at.pos").join(near_copies(firsts, near_min_chars, edits), ["id", "pos"], "left_anti")
-    return places.groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("kept"))
+    places = firsts.select("at").join(small(checkpointed(near_copies(firsts, near_min_chars, edits))), "at", "left_anti")
+    return places.select(*place_of("at")).groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("kept"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_min_chars: int = NEAR_MIN_CHARS, edits: int = MAX_EDITS) -> DataFrame:

@@ -90,7 +90,7 @@ o as (select doc_id, unnest(range(len(ls))) as pos, unnest(ls) as line from t),
 e as (select * from o where length(line) >= 20 and not regexp_full_match(line, '[ 	-
 ]*')),
 f as (select line, min((doc_id, pos)) as place, length(line) as n from e group by line),
-near as (select distinct b.line from f b join (select line, place, unnest(range(n - 2, n + 3)) as n from f where n >= 40) a on a.n = b.n and a.place < b.place where b.n >= 40 and levenshtein(a.line, b.line) <= 2),
+near as (select distinct b.line from f b join (select line, place, unnest(range(n - 1, n + 2)) as n from f where n >= 40) a on a.n = b.n and a.place < b.place where b.n >= 40 and levenshtein(a.line, b.line) <= 1),
 gone as (select e.doc_id, list(e.pos order by e.pos) as dropped from e join f on e.line = f.line left join near on e.line = near.line where (e.doc_id, e.pos) <> f.place or near.line is not null group by 1)
 select doc_id, coalesce(len(ls), 0) as n_lines, coalesce(len(dropped), 0) as n_dropped, coalesce(array_to_string(dropped, ','), '') as dropped from t left join gone using (doc_id)""",
 }

@@ -101,31 +101,32 @@ def line_case():
     docs = []
     for i in range(40):
         docs.append((i, "\n".join(mutated(rng, rng.choice(base), rng.randrange(4)) for _ in range(rng.randrange(8)))))
-    docs += [(40, None), (41, ""), (42, "\n\n"), (43, " " * 50 + "\n" + " " * 50), (None, base[0]), (3, docs[3][1]), (44, "z" * 30_000), (45, "z" * 30_001 + "\nshort\nshort"), (46, "same line that is long enough to count here\n" * 400)]
+    docs += [(-7, base[1] + "x\n" + base[2]), (40, None), (41, ""), (42, "\n\n"), (43, " " * 50 + "\n" + " " * 50), (None, base[0]), (3, docs[3][1]), (44, "z" * 30_000), (45, "z" * 30_001 + "\nshort\nshort"), (46, "same line that is long enough to count here\n" * 400)]
     return docs
 
 
-def brute_dropped(docs):
+def brute_dropped(docs, most):
     lines = [(d, p, x) for d, t in docs if t is not None and d is not None for p, x in enumerate(t.split("\n")) if len(x) >= 20 and re.search(r"[^\x20\x09-\x0D]", x)]
     first = {}
     for d, p, x in lines:
         first[x] = min(first.get(x, (d, p)), (d, p))
     near = set()
     for (x, a), (y, b) in itertools.combinations(first.items(), 2):
-        if min(len(x), len(y)) >= 40 and abs(len(x) - len(y)) <= 2 and (min(len(x), len(y)) > 5000 and x in y or max(len(x), len(y)) < 5000 and edits(x, y) <= 2):
+        if min(len(x), len(y)) >= 40 and abs(len(x) - len(y)) <= most and (min(len(x), len(y)) > 5000 and x in y or max(len(x), len(y)) < 5000 and edits(x, y) <= most):
             near.add(x if a > b else y)
     kept = {first[x] for x in first if x not in near}
     return [[p for p, x in enumerate((t or "").split("\n")) if d is not None and len(x) >= 20 and re.search(r"[^\x20\x09-\x0D]", x) and (d, p) not in kept] for d, t in docs]
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_line_dedup_equals_brute_force(spark, most):
     docs = line_case()
     frame = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(docs)], "doc_id long, text string, pos int")
-    want = brute_dropped(docs)
-    found = line_dedup.dropped_lines(frame).collect()
+    want = brute_dropped(docs, most)
+    found = line_dedup.dropped_lines(frame, edits=most).collect()
     assert sorted(((r["doc_id"], r["dropped"]) for r in found), key=str) == sorted(((d, x) for (d, _), x in zip(docs, want, strict=True)), key=str)
     assert all(r["n_dropped"] == len(r["dropped"]) for r in found)
-    cleaned = line_dedup.dedup_lines(frame)
+    cleaned = line_dedup.dedup_lines(frame, edits=most)
     assert cleaned.columns == frame.columns
     for r in cleaned.collect():
         text = docs[r["pos"]][1]
