@@ -12,6 +12,7 @@ from tessera.llm.chat_format import format_conversations
 from tessera.llm.decontamination import contained_items
 from tessera.llm.license_scan import scan_licenses
 from tessera.llm.line_dedup import dropped_lines
+from tessera.llm.parity_join import join_similar
 from tessera.llm.piece_sampling import sample_pieces
 from tessera.llm.quality_rules import judge_quality
 from tessera.llm.token_counts import count_tokens
@@ -30,6 +31,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_similar(read(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -59,6 +64,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_license_scans": op7_license_scans,
@@ -74,7 +80,20 @@ def _words(column: str) -> str:
     return f"list_filter(regexp_split_to_array(translate(coalesce({column}, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 
+def jaccard_sql(documents: str, width: int, percent: int) -> str:
+    """doc_id, n_shingles and component_id of a table's documents, by counting the shingles that pairs share."""
+    return f"""
+with recursive d as (select distinct doc_id, {_words("text")} as w from {documents}),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < {width} then [array_to_string(w, ' ')] else [array_to_string(w[k:k + {width - 1}], ' ') for k in range(1, len(w) - {width - 2})] end) as g from d),
+n as (select doc_id, count(*) as n from s group by 1),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as shared from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as materialized (select x, y from pairs join n a on a.doc_id = x join n b on b.doc_id = y where 100 * shared >= {percent} * (a.n + b.n - shared)),
+reach as (select doc_id, doc_id as root from d union select l.y, r.root from reach r join links l on l.x = r.doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(root) from reach r where r.doc_id = d.doc_id) as component_id from d left join n using (doc_id)"""
+
+
 ORACLES: dict[str, str] = {
+    "op4_jaccard_join": jaccard_sql("documents", 4, 85),
     "op5_decontamination": f"""
 with d as (select distinct doc_id, {_words("text")} as w from documents),
 i as (select distinct item_id, {_words("text")} as w, least(5, len(w)) as n from benchmark),
