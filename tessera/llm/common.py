@@ -57,11 +57,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """As :func:`checkpointed`, but as compressed Parquet files in a folder of their own: for tables with texts."""
+    """As :func:`checkpointed`, but as compressed Parquet files in a folder of their own: for large tables."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

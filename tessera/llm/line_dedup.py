@@ -39,9 +39,12 @@ def _eligible(line: Column, min_chars: int) -> Column:
     return (F.char_length(line) >= min_chars) & ~line.rlike(_BLANK)
 
 
-def eligible_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(id, pos, line) of the lines that take part; rows without an id or text have none."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null")
+
+
+def eligible_lines(rows: DataFrame, min_chars: int) -> DataFrame:
+    """(id, pos, line) of the lines that take part; rows without a text have none."""
     lines = rows.select("id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
     return lines.filter(_eligible(F.col("line"), min_chars))
 
@@ -151,31 +154,46 @@ def _counts_differ(a: Column, b: Column) -> Column:
     return out
 
 
-def near_pairs(firsts: DataFrame, near_min_chars: int, edits: int) -> DataFrame:
+def keyed_lines(firsts: DataFrame, near_min_chars: int, edits: int) -> DataFrame:
+    """at, index, probes, counts: what the near join needs of each line, without its text."""
+    line = F.col("line")
+    near = F.char_length(line) >= near_min_chars
+    return firsts.select("at", F.when(near, segment_keys(line, edits)).alias("index"), F.when(near, probe_keys(line, edits)).alias("probes"), F.when(near, letter_counts(line)).alias("counts"))
+
+
+def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
     """(a, b): places of distinct lines that share a segment and have about the same letters, the earlier line first.
 
     Variants of one line that differ in whole words share segments too; their letter counts part them inside the join.
     """
-    lines = firsts.filter(F.char_length("line") >= near_min_chars).select("at", "line", letter_counts(F.col("line")).alias("counts"))
-    index = lines.select(segment_keys(F.col("line"), edits).alias("keys"), F.col("at").alias("a"), F.col("counts").alias("ca")).select(F.explode("keys").alias("key"), "a", "ca")
-    probes = lines.select(probe_keys(F.col("line"), edits).alias("keys"), F.col("at").alias("b"), F.col("counts").alias("cb")).select(F.explode("keys").alias("key"), "b", "cb")
+    index = lines.select(F.explode("index").alias("key"), F.col("at").alias("a"), F.col("counts").alias("ca"))
+    probes = lines.select(F.explode("probes").alias("key"), F.col("at").alias("b"), F.col("counts").alias("cb"))
     met = probes.join(index, (probes["key"] == index["key"]) & (F.col("a") != F.col("b")) & (_counts_differ(F.col("ca"), F.col("cb")) <= 2 * edits))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_copies(firsts: DataFrame, near_min_chars: int, edits: int) -> DataFrame:
+def lines_at(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(at, line): the lines at some places, read from the documents again."""
+    wanted = places.select("at", *place_of("at")).groupBy("id").agg(F.collect_list(F.struct("at", "pos")).alias("wanted"))
+    wanted = small(checkpointed(wanted.withColumnRenamed("id", "i")))
+    found = rows.join(wanted, F.col("id") == F.col("i")).select(F.col("wanted"), lines_of(F.col("text")).alias("lines"))
+    return found.select(F.explode("wanted").alias("w"), "lines").select("w.at", F.get("lines", F.col("w.pos")).alias("line")).filter("line is not null")
+
+
+def near_copies(lines: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
     """Places of lines that have an earlier line within the threshold."""
-    pairs = small(checkpointed(near_pairs(firsts, near_min_chars, edits)))
-    text = firsts.filter(F.char_length("line") >= near_min_chars)
-    with_a = checkpointed(pairs.join(text.select(F.col("at").alias("a"), F.col("line").alias("x")), "a"))
-    with_b = small(with_a).join(text.select(F.col("at").alias("b"), F.col("line").alias("y")), "b")
-    return with_b.filter(within_edits(F.col("x"), F.col("y"), edits)).select(F.col("b").alias("at")).distinct()
+    pairs = checkpointed(near_pairs(lines, edits))
+    text = materialized(lines_at(rows, pairs.select(F.col("a").alias("at")).unionAll(pairs.select(F.col("b").alias("at"))).distinct()))
+    met = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b")
+    return met.filter(within_edits(F.col("x"), F.col("y"), edits)).select(F.col("b").alias("at")).distinct()
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_min_chars: int = NEAR_MIN_CHARS, edits: int = MAX_EDITS) -> DataFrame:
     """(id, kept): sorted numbers of the eligible lines that stay, for each document that keeps any."""
-    firsts = materialized(first_lines(eligible_lines(docs, id_col, text_col, min_chars)))
-    places = firsts.select("at").join(small(checkpointed(near_copies(firsts, near_min_chars, edits))), "at", "left_anti")
+    rows = identified(docs, id_col, text_col)
+    lines = materialized(keyed_lines(first_lines(eligible_lines(rows, min_chars)), near_min_chars, edits))
+    near = small(checkpointed(near_copies(lines, rows, edits)))
+    places = lines.select("at").join(near, "at", "left_anti")
     return places.select(*place_of("at")).groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("kept"))
 
 
