@@ -48,10 +48,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def uniform(seed: np.ndarray, draw: int, place: np.ndarray) -> np.ndarray:
-    """Uniform numbers in (0, 1) from (row seed, draw, place)."""
+def draws(seed: np.ndarray, draw: int) -> np.ndarray:
+    """The starting point of a row's random numbers for one draw."""
     with np.errstate(over="ignore"):
-        bits = _mixed(_mixed(seed + np.uint64(0x9E3779B97F4A7C15) * np.uint64(draw + 1)) + np.uint64(0xD6E8FEB86659FD93) * (place.astype(np.uint64) + np.uint64(1)))
+        return _mixed(seed + np.uint64(0x9E3779B97F4A7C15) * np.uint64(draw + 1))
+
+
+def uniform(start: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Uniform numbers in (0, 1) for places of rows."""
+    with np.errstate(over="ignore"):
+        bits = _mixed(start + np.uint64(0xD6E8FEB86659FD93) * (place.astype(np.uint64) + np.uint64(1)))
     return ((bits >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
@@ -132,9 +138,11 @@ class Lattices:
         self.n_nodes = self.n_edges = 0
         self._edges = (np.empty(1024), np.empty(1024, np.int32), np.empty(1024, np.int32), np.empty(1024))
         self._nodes = (np.zeros(1024, np.int32), np.zeros(1024, bool))
+        self.length = np.zeros(1024, np.int32)  # of a word, at its first node
 
-    def add(self, words: list[str]) -> None:
+    def add(self, keys_of: list[str]) -> None:
         """Builds the lattices of new words together and appends them to the arrays, which double when they are full."""
+        words = [k[:-1] if k[-1:] == SPACE and k.strip(SPACE) else SPACE + k for k in keys_of]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         text = "".join(words)
@@ -172,7 +180,11 @@ class Lattices:
         self._edges = tuple(self._grown(old, edges, new) for old, new in zip(self._edges, (keys, base + there, ids, share), strict=True))
         starts, ends = self._nodes
         self._nodes = (self._grown(starts, nodes + 1, edges + np.cumsum(per_node)), self._grown(ends, nodes, final))
-        self.first.update(zip(words, (base + offsets[:-1] + np.arange(len(words))).tolist(), strict=True))
+        begin = offsets[:-1] + np.arange(len(words))
+        length = np.zeros(len(per_node), np.int32)
+        length[begin] = sizes
+        self.length = self._grown(self.length, nodes, length)
+        self.first.update(zip(keys_of, (base + begin).tolist(), strict=True))
         self.n_nodes += len(per_node)
         self.n_edges += len(here)
 
@@ -248,20 +260,25 @@ class Sampler:
         if group:
             yield from self._group(group)
 
-    def _words(self, norms: list[str]) -> tuple[list[str], list[int]]:
+    @staticmethod
+    def _words(norms: list[str]) -> tuple[list[str], list[int]]:
+        """Keys of all words: the word without its first space mark, or, if it has none, with a mark at its end."""
         words: list[str] = []
         counts: list[int] = []
         for norm in norms:
-            first, *rest = norm.split(SPACE)
-            parts = [first] if first else []
-            held = ""
-            for x in rest:  # a run of spaces belongs to the word after it
-                held += SPACE
-                if x:
-                    parts.append(held + x)
-                    held = ""
-            if held:
-                parts.append(held)
+            head, *parts = norm.split(SPACE) if norm else [""]
+            if "" in parts:  # a run of spaces belongs to the word after it
+                spaced, held = parts, ""
+                parts = []
+                for x in spaced[:-1]:
+                    if x:
+                        parts.append(held + x)
+                        held = ""
+                    else:
+                        held += SPACE
+                parts.append(held + spaced[-1])
+            if head:
+                parts = [head + SPACE, *parts]
             words += parts
             counts.append(len(parts))
         return words, counts
@@ -271,16 +288,16 @@ class Sampler:
         words, counts = self._words([n for n, _ in group])
         unique = set(words)
         missing = unique - lat.first.keys()
-        if lat.n_nodes + sum(map(len, missing)) > CACHE_NODES:
+        if lat.n_nodes + sum(map(len, missing)) + 2 * len(missing) > CACHE_NODES:
             lat.clear()
             missing = unique
         if missing:
-            lat.add(sorted(missing))
+            lat.add(list(missing))
         keys, ends, ids, logs, starts, final = lat.arrays()
         n_docs = len(group)
         seeds = np.array([s & 0xFFFFFFFFFFFFFFFF for _, s in group], np.uint64)
         node = np.fromiter(map(lat.first.__getitem__, words), np.int64, len(words))
-        size = np.fromiter(map(len, words), np.int64, len(words))
+        size = lat.length[node].astype(np.int64)
         word_at = np.concatenate([[0], np.cumsum(size)])  # place of each word in the group's characters
         doc_of_word = np.repeat(np.arange(n_docs), counts)
         doc_at = np.concatenate([[0], np.cumsum(np.bincount(doc_of_word, size, n_docs).astype(np.int64))])
@@ -289,11 +306,12 @@ class Sampler:
 
         def walk(at: np.ndarray, move: np.ndarray, doc: np.ndarray, draw: int, edge_at: np.ndarray) -> None:
             """Draws edges from the nodes ``at`` to their words' ends and notes each at its place."""
+            start = draws(seeds, draw)
             live = ~final[at]
             at, move, doc = at[live], move[live], doc[live]
             while len(at):
                 place = at + move
-                key = at + uniform(seeds[doc], draw, place - doc_at[doc])
+                key = at + uniform(start[doc], place - doc_at[doc])
                 e = starts[at]
                 more = np.flatnonzero(keys[e] <= key)
                 while len(more):  # nodes have few edges, so stepping through them beats a search of all keys
@@ -306,10 +324,10 @@ class Sampler:
 
         docs = np.arange(n_docs)
         zero = np.zeros(n_docs, np.int64)
-        edge_at = np.full(total, _NONE, np.int64)
+        edge_at = np.full(total, _NONE, np.int32)
         walk(node, shift, doc_of_word, 0, edge_at)
-        top = -np.log(-np.log(uniform(seeds, 10_000, zero)))
-        paths: list[dict[str, Any]] = [self._path(edge_at, np.zeros(total), top, docs, doc_at, seeds, 1, logs, None)]
+        top = -np.log(-np.log(uniform(draws(seeds, 10_000), zero)))
+        paths: list[dict[str, Any]] = [self._path(edge_at, top, docs, doc_at, seeds, 1, logs, None)]
         chosen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(edge_at, paths[0]["log_prob"], top)]
         bound = np.full(n_docs, -np.inf)
         for j in range(1, k + 1):
@@ -320,8 +338,7 @@ class Sampler:
             if j == k:
                 break
             open_docs = np.flatnonzero(~np.isneginf(bound))
-            edge_new = np.full(total, _NONE, np.int64)
-            log_before = np.zeros(total)
+            edge_new = np.full(total, _NONE, np.int32)
             at, move, who = [], [], []
             left_word = np.full(n_docs, len(node), np.int64)
             begin = np.full(n_docs, total + 1, np.int64)
@@ -334,7 +351,7 @@ class Sampler:
                 taken = path["taken"].setdefault(place, {e_old})
                 rest = [e for e in range(int(starts[n]), int(starts[n + 1])) if e not in taken]
                 shares = np.exp(logs[rest])
-                u = float(uniform(seeds[d : d + 1], 20_000 + j, np.array([place - doc_at[d]]))[0])
+                u = float(uniform(draws(seeds[d : d + 1], 20_000 + j), np.array([place - doc_at[d]]))[0])
                 e = rest[min(int(np.searchsorted(np.cumsum(shares), u * shares.sum(), side="right")), len(rest) - 1)]
                 # What remains of the set keeps its place in the queue with a smaller value.
                 left = [x for x in rest if x != e]
@@ -342,13 +359,12 @@ class Sampler:
                 i = int(path["index"](place))
                 before = float(path["before"][i])
                 mass = before + math.log(float(np.exp(logs[left]).sum())) if left else -np.inf
-                u = uniform(seeds[d : d + 1], 30_000 + j, np.array([place - doc_at[d]]))
+                u = uniform(draws(seeds[d : d + 1], 30_000 + j), np.array([place - doc_at[d]]))
                 path["value"][i] = truncated_gumbel(np.array([mass]), bound[d : d + 1], u)[0]
                 path["refresh"](d)
                 lo = int(doc_at[d])
                 edge_new[lo:place] = path["edge_at"][lo:place]
                 edge_new[place] = e
-                log_before[place] = before
                 begin[d] = place
                 at.append(int(ends[e]))
                 move.append(int(shift[w]))
@@ -356,13 +372,13 @@ class Sampler:
                 left_word[d] = w
             rest = np.flatnonzero(np.arange(len(node)) > left_word[doc_of_word])  # words after the one it leaves in
             walk(np.concatenate([np.array(at, np.int64), node[rest]]), np.concatenate([np.array(move, np.int64), shift[rest]]), np.concatenate([np.array(who, np.int64), doc_of_word[rest]]), j, edge_new)
-            path = self._path(edge_new, log_before, bound, docs, doc_at, seeds, 1 + j, logs, begin)
+            path = self._path(edge_new, bound, docs, doc_at, seeds, 1 + j, logs, begin)
             paths.append(path)
             chosen.append((edge_new, path["log_prob"], np.where(np.isneginf(bound), -np.inf, bound)))
         yield from self._emit(chosen, bound, doc_at, ids)
 
     @staticmethod
-    def _path(edge_at: np.ndarray, log_before: np.ndarray, top: np.ndarray, docs: np.ndarray, doc_at: np.ndarray, seeds: np.ndarray, draw: int, logs: np.ndarray, begin: np.ndarray | None) -> dict[str, Any]:
+    def _path(edge_at: np.ndarray, top: np.ndarray, docs: np.ndarray, doc_at: np.ndarray, seeds: np.ndarray, draw: int, logs: np.ndarray, begin: np.ndarray | None) -> dict[str, Any]:
         """The sets that leave a drawn path at each of its edges, after ``begin``, with their perturbed values."""
         place = np.flatnonzero(edge_at >= 0)
         share = logs[edge_at[place]]
@@ -375,7 +391,7 @@ class Sampler:
             mass = before + np.log(-np.expm1(np.minimum(share, 0.0)))
         if begin is not None:
             mass[place <= begin[doc]] = -np.inf  # these sets belong to the path it has left
-        value = truncated_gumbel(mass, top[doc], uniform(seeds[doc], 40_000 + draw, place - doc_at[doc]))
+        value = truncated_gumbel(mass, top[doc], uniform(draws(seeds, 40_000 + draw)[doc], place - doc_at[doc]))
         best, where = np.full(len(docs), -np.inf), np.zeros(len(docs), np.int64)
 
         def refresh(d: int) -> None:
