@@ -12,6 +12,7 @@ from tessera.llm.chat_format import format_conversations
 from tessera.llm.decontamination import contained_items
 from tessera.llm.license_scan import scan_licenses
 from tessera.llm.line_dedup import dropped_lines
+from tessera.llm.lm_scoring import score_documents
 from tessera.llm.parity_join import join_similar
 from tessera.llm.piece_sampling import sample_pieces
 from tessera.llm.quality_rules import judge_quality
@@ -31,6 +32,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_similar(read(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
