@@ -35,7 +35,7 @@ SAMPLES = 2
 ALPHA = 0.5
 #: Characters that are searched together, and lattice nodes that a worker keeps.
 GROUP_CHARS = 600_000
-CACHE_NODES = 2_500_000
+CACHE_NODES = 1_500_000
 
 _NONE = -1
 
@@ -67,6 +67,27 @@ def extended(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
         return _mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + codes.astype(np.uint64) + np.uint64(1))
 
 
+SLOT_BITS = 16
+
+
+def hashed_table(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(hashes, ids, first entry of each slot): sorted hashes under their leading bits; ids are -1 for mere beginnings."""
+    slots = np.searchsorted(hashes >> np.uint64(64 - SLOT_BITS), np.arange(1 << SLOT_BITS, dtype=np.uint64)).astype(np.int32)
+    # An entry after the last ends every search.
+    return np.append(hashes, ~np.uint64(0)), np.append(ids, np.int32(_NONE)), slots
+
+
+def looked_up(table: tuple[np.ndarray, ...], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, whether known) of hashes: a slot holds few entries, which are stepped through."""
+    hashes, ids, slots = table
+    at = slots[(wanted >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+    more = np.flatnonzero(hashes[at] < wanted)
+    while len(more):
+        at[more] += 1
+        more = more[hashes[at[more]] < wanted[more]]
+    return ids[at], hashes[at] == wanted
+
+
 class PieceModel:
     """The pieces of a model file with probabilities, and their byte strings for decoding."""
 
@@ -98,8 +119,8 @@ class PieceModel:
         self.logs = (alpha * (logs - np.log(np.exp(logs[used]).sum()))).tolist()
         self.longest = max(map(len, self.ids))
         self._log_array = np.array(self.logs)
-        #: By length: sorted hashes of all pieces' beginnings of that length, with the piece's id or -1.
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        #: By length: all pieces' beginnings of that length.
+        self.tables: list[tuple[np.ndarray, ...]] = []
         for size in range(1, self.longest + 1):
             starts = sorted({piece[:size] for piece in self.ids if len(piece) >= size})
             codes = np.frombuffer("".join(starts).encode("utf-32-le"), np.uint32).reshape(len(starts), size)
@@ -108,7 +129,7 @@ class PieceModel:
                 hashes = extended(hashes, codes[:, i])
             order = np.argsort(hashes)
             assert len(np.unique(hashes)) == len(starts)
-            self.tables.append((hashes[order], np.array([self.ids.get(x, _NONE) for x in starts], np.int32)[order]))
+            self.tables.append(hashed_table(hashes[order], np.array([self.ids.get(x, _NONE) for x in starts], np.int32)[order]))
 
     def normalize(self, text: str) -> str:
         return self.processor.normalize(text) if text else ""
@@ -124,8 +145,8 @@ class PieceModel:
 
 
 class Lattices:
-    """Word lattices in flat arrays. Node i's edges carry their summed probabilities as i + cumulated share, so the first
-    key above i + u draws the next edge of any number of nodes at once."""
+    """Word lattices in flat arrays. A node's edges carry their cumulated probabilities, the last one 1, so the first that
+    is above a uniform number is the edge drawn; many nodes are drawn for at once."""
 
     def __init__(self, model: PieceModel) -> None:
         self.model = model
@@ -136,7 +157,7 @@ class Lattices:
         self.byte_runs: list[list[int]] = []
         self._run_of: dict[str, tuple[int, float]] = {}
         self.n_nodes = self.n_edges = 0
-        self._edges = (np.empty(1024), np.empty(1024, np.int32), np.empty(1024, np.int32), np.empty(1024))
+        self._edges = (np.empty(1024, np.float32), np.empty(1024, np.int32), np.empty(1024, np.int32), np.empty(1024))
         self._nodes = (np.zeros(1024, np.int32), np.zeros(1024, bool))
         self.length = np.zeros(1024, np.int32)  # of a word, at its first node
 
@@ -154,8 +175,9 @@ class Lattices:
         left = np.repeat(offsets[1:], sizes) - np.arange(len(text))
         back = np.zeros(len(text) + len(words))
         here, there = start + slots[start], start + slots[start] + size
-        turn = np.argsort(left[start], kind="stable")
-        bounds = np.searchsorted(left[start][turn], np.arange(1, int(sizes.max()) + 2))
+        ahead = left[start].astype(np.uint16 if sizes.max() < 65536 else np.int64)  # sorted by radix if they are short
+        turn = np.argsort(ahead, kind="stable")
+        bounds = np.searchsorted(ahead[turn], np.arange(1, int(sizes.max()) + 2))
         for a, b in itertools.pairwise(bounds.tolist()):
             if a < b:
                 edges = turn[a:b]
@@ -168,16 +190,14 @@ class Lattices:
         run = np.cumsum(np.exp(share))
         total = run - np.repeat(np.concatenate([[0.0], run[heads[1:] - 1]]), counts)
         base = self.n_nodes
-        keys = base + here + np.minimum(total, 1.0)
-        last = np.append(heads[1:], len(here)) - 1
-        keys[last] = base + here[last] + 1.0
-        share[last[counts == 1]] = 0.0
+        total[np.append(heads[1:], len(here)) - 1] = 1.0
+        share[heads[counts == 1]] = 0.0
         per_node = np.zeros(len(text) + len(words), np.int64)
         per_node[here[heads]] = counts
         final = np.zeros(len(per_node), bool)
         final[offsets[1:] + np.arange(len(words))] = True
         nodes, edges = self.n_nodes, self.n_edges
-        self._edges = tuple(self._grown(old, edges, new) for old, new in zip(self._edges, (keys, base + there, ids, share), strict=True))
+        self._edges = tuple(self._grown(old, edges, new) for old, new in zip(self._edges, (total, base + there, ids, share), strict=True))
         starts, ends = self._nodes
         self._nodes = (self._grown(starts, nodes + 1, edges + np.cumsum(per_node)), self._grown(ends, nodes, final))
         begin = offsets[:-1] + np.arange(len(words))
@@ -194,16 +214,14 @@ class Lattices:
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         at, hashes = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        for size, (table, table_ids) in enumerate(m.tables, 1):
+        for size, table in enumerate(m.tables, 1):
             inside = at + size <= word_end[at]
             at, hashes = at[inside], hashes[inside]
             if not len(at):
                 break
             hashes = extended(hashes, codes[at + size - 1])
-            i = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-            known = table[i] == hashes
-            ids = np.where(known, table_ids[i], _NONE)
-            is_piece = ids >= 0
+            ids, known = looked_up(table, hashes)
+            is_piece = known & (ids >= 0)
             found.append((at[is_piece], np.full(int(is_piece.sum()), size), ids[is_piece], m._log_array[ids[is_piece]]))
             if size == 1 and not is_piece.all():  # a character that is no piece is written in bytes
                 odd = at[~is_piece]
@@ -228,7 +246,7 @@ class Lattices:
         return old
 
     def arrays(self) -> tuple:
-        """keys, ends, ids, log shares, first edge of each node, whether a node ends a word."""
+        """cumulated shares, ends, ids, log shares, first edge of each node, whether a node ends a word."""
         n, (starts, final) = self.n_edges, self._nodes
         return *(x[:n] for x in self._edges), starts, final
 
@@ -311,7 +329,7 @@ class Sampler:
             at, move, doc = at[live], move[live], doc[live]
             while len(at):
                 place = at + move
-                key = at + uniform(start[doc], place - doc_at[doc])
+                key = uniform(start[doc], place - doc_at[doc])
                 e = starts[at]
                 more = np.flatnonzero(keys[e] <= key)
                 while len(more):  # nodes have few edges, so stepping through them beats a search of all keys
