@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from tessera.llm import common
 from tessera.llm import parity_join as pj
 from tessera.llm.components import components
 
@@ -70,8 +71,9 @@ def case(seed):
 
 @pytest.mark.parametrize(("seed", "width", "similarity"), [(1, 4, (85, 100)), (2, 4, (85, 100)), (3, 5, (4, 5)), (4, 1, (1, 2))])
 def test_components_equal_brute_force(spark, seed, width, similarity, monkeypatch):
-    if seed == 2:
+    if seed == 2:  # many tiles and salts, and no side small enough for a broadcast
         monkeypatch.setattr(pj, "TILE_ROWS", 3)
+        monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     docs = case(seed)
     frame = spark.createDataFrame([(d, t, d) for d, t in docs], "doc_id long, text string, node long")
     found = pj.join_similar(frame, width=width, similarity=similarity).collect()
