@@ -14,8 +14,9 @@ from tessera.checkpoints import ensure_checkpoint_dir
 
 #: Rows that one Arrow batch holds, so that a batch of very long texts still fits in a Python worker.
 BATCH_ROWS = 256
-#: Rows up to which a table is broadcast; a larger one is joined by a shuffle.
+#: Rows and bytes up to which a table is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16_000_000
 
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,9 +66,14 @@ def materialized(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a table for broadcast if a count of at most ``limit`` + 1 of its rows shows that it is small enough."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, width: Column | None = None) -> DataFrame:
+    """Marks a table for broadcast if counting its rows shows that it is small enough. It should be written or cheap.
+
+    ``width`` is the size in bytes of a row's column without a fixed size, such as an array; such a table must also stay
+    within BROADCAST_BYTES. A table that is not small is joined by a shuffle.
+    """
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.lit(0) if width is None else width).alias("bytes")).first()
+    return F.broadcast(df) if seen["n"] <= BROADCAST_ROWS and (seen["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
 __all__ = ["ascii_lower", "arrow_column", "bound_batches", "checkpointed", "ensure_checkpoint_dir", "keyed_text", "materialized", "small"]

@@ -96,7 +96,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
     sets = item_sets(items, item_col, item_text_col)
     index = checkpointed(signatures(sets, threshold))
     pairs = checkpointed(candidates(rows, index))
-    held = small(pairs.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("item_id")).alias("found")))
+    held = small(pairs.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("item_id")).alias("found")), width=8 * F.size("found"))
     texts = rows.join(held, F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", "found", words_of(F.col("text")).alias("words"))
     widths = [r["width"] for r in sets.select("width").distinct().collect()]
     by_pair = None
@@ -105,7 +105,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
         by_pair = part if by_pair is None else by_pair.unionAll(part)
     if by_pair is None:
         return pairs.select("doc_id", "item_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_shared"), F.lit(0.0).alias("containment")).limit(0)
-    met = by_pair.join(small(sets), F.col("i").eqNullSafe(F.col("item_id")) & (F.col("w") == F.col("width")))
+    met = by_pair.join(small(sets, width=F.octet_length(F.array_join("shingles", ""))), F.col("i").eqNullSafe(F.col("item_id")) & (F.col("w") == F.col("width")))
     shared = F.size(F.array_intersect("shingles", "held")).cast("long")
     counted = met.select("doc_id", "item_id", F.size("shingles").cast("long").alias("n_shingles"), shared.alias("n_shared"))
     scored = counted.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).filter(F.col("n_shared") >= F.lit(threshold) * F.col("n_shingles") - 1e-9)

@@ -175,7 +175,7 @@ def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
 def lines_at(rows: DataFrame, places: DataFrame) -> DataFrame:
     """(at, line): the lines at some places, read from the documents again."""
     wanted = places.select("at", *place_of("at")).groupBy("id").agg(F.collect_list(F.struct("at", "pos")).alias("wanted"))
-    wanted = small(checkpointed(wanted.withColumnRenamed("id", "i")))
+    wanted = small(checkpointed(wanted.withColumnRenamed("id", "i")), width=24 * F.size("wanted"))
     found = rows.join(wanted, F.col("id") == F.col("i")).select(F.col("wanted"), lines_of(F.col("text")).alias("lines"))
     return found.select(F.explode("wanted").alias("w"), "lines").select("w.at", F.get("lines", F.col("w.pos")).alias("line")).filter("line is not null")
 

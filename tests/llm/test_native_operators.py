@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from tessera.llm import chat_format, decontamination, line_dedup
+from tessera.llm import chat_format, common, decontamination, line_dedup
 
 DOC = "doc_id long, text string, source string"
 ITEM = "item_id long, text string"
@@ -55,7 +55,14 @@ def contamination_case():
     return docs, items
 
 
-def test_contained_items_equal_brute_force(spark):
+@pytest.fixture(params=["broadcast", "shuffle"])
+def sized(request, monkeypatch):
+    """Once with the small sides broadcast, once as if none were small."""
+    if request.param == "shuffle":
+        monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+
+
+def test_contained_items_equal_brute_force(spark, sized):
     docs, items = contamination_case()
     frame = spark.createDataFrame([(d, t, "s") for d, t in docs], "doc_id long, text string, item_id string")
     found = decontamination.contained_items(frame, spark.createDataFrame(items, ITEM)).collect()
@@ -119,7 +126,7 @@ def brute_dropped(docs, most):
 
 
 @pytest.mark.parametrize("most", [1, 2, 3])
-def test_line_dedup_equals_brute_force(spark, most):
+def test_line_dedup_equals_brute_force(spark, most, sized):
     docs = line_case()
     frame = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(docs)], "doc_id long, text string, pos int")
     want = brute_dropped(docs, most)
