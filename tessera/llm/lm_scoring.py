@@ -111,9 +111,11 @@ def block_scores(block: Block, count1: np.ndarray, count2: np.ndarray, total: in
     at = block.after
     used = count2 >= min_count
     score[at] = np.where(used, np.log(np.maximum(count2, 1) / count1[at - 1]), math.log(backoff) + score[at])
-    ends = np.cumsum(block.sizes)
-    run = np.concatenate([[0.0], np.cumsum(score)])
-    return run[ends] - run[ends - block.sizes]
+    out = np.zeros(len(block.sizes))
+    filled = block.sizes > 0
+    if filled.any():
+        out[filled] = np.add.reduceat(score, (np.cumsum(block.sizes) - block.sizes)[filled])
+    return out
 
 
 def _score(backoff: float, min_count: int) -> Callable:

@@ -33,7 +33,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(read(spark, sf_dir, "documents"))
+    scored = score_documents(read(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("per_word", 6).alias("per_word"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +100,16 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(root) from reach r
 
 
 ORACLES: dict[str, str] = {
+    "op3_lm_scoring": f"""
+with d as (select row_number() over () as r, doc_id, {_words("text")} as w from documents),
+p as (select r, unnest(range(len(w))) as i, unnest(w) as x from d),
+q as (select *, lag(x) over (partition by r order by i) as v from p),
+o as (select x, count(*) as c from p group by x),
+t as (select v, x, count(*) as c from q where v is not null group by all),
+s as (select r, case when t.c >= 2 then ln(t.c / ov.c) when q.v is null then ln(o.c / n.n) else ln(0.4) + ln(o.c / n.n) end as l
+      from q join o on q.x = o.x left join o ov on q.v = ov.x left join t on q.v = t.v and q.x = t.x cross join (select count(*) as n from p) n),
+f as (select r, sum(l) as l from s group by r)
+select doc_id, len(w) as n_words, round(coalesce(l, 0.0), 6) as log_score, round(l / len(w), 6) as per_word from d left join f using (r)""",
     "op4_jaccard_join": jaccard_sql("documents", 4, 85),
     "op5_decontamination": f"""
 with d as (select distinct doc_id, {_words("text")} as w from documents),
