@@ -119,14 +119,34 @@ dsh as (select distinct doc_id, n, unnest([array_to_string(w[k:k + n - 1], ' ')
 q as (select item_id, w, count(*) as n_shingles from ish group by all),
 m as (select doc_id, item_id, w, count(*) as n_shared from ish join dsh using (n, s) group by all)
 select doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles as containment from m join q using (item_id, w) where n_shared >= 0.8 * n_shingles - 1e-9""",
-    # Every pair of lines of like length; lengths are joined by equality so that no cross join is planned.
+    # One edit in a line of forty characters leaves its first or its last twenty as they are. Two lines are one edit apart
+    # if their common beginning and end leave no more than one character of the longer one.
     "op9_line_dedup": r"""
 with t as (select doc_id, string_split(text, chr(10)) as ls from documents),
 o as (select doc_id, unnest(range(len(ls))) as pos, unnest(ls) as line from t),
 e as (select * from o where length(line) >= 20 and not regexp_full_match(line, '[ 	-
 ]*')),
-f as (select line, min((doc_id, pos)) as place, length(line) as n from e group by line),
-near as (select distinct b.line from f b join (select line, place, unnest(range(n - 1, n + 2)) as n from f where n >= 40) a on a.n = b.n and a.place < b.place where b.n >= 40 and levenshtein(a.line, b.line) <= 1),
+f as (select line, min((doc_id, pos)) as place, length(line) as n, length(line) as m from e group by line),
+pairs as (select a.line as x, b.line as y, greatest(a.m, b.m) as n from f b join (select line, place, n as m, unnest(range(n - 1, n + 2)) as n from f where n >= 40) a on a.n = b.n and a.place < b.place where b.n >= 40 and (left(a.line, 20) = left(b.line, 20) or right(a.line, 20) = right(b.line, 20))),
+apart as (select y, n, list_transform(list_zip(string_split(x, ''), string_split(y, '')), lambda z: z[1] is distinct from z[2]) as fore, list_transform(list_zip(string_split(reverse(x), ''), string_split(reverse(y), '')), lambda z: z[1] is distinct from z[2]) as aft from pairs),
+near as (select distinct y as line from apart where list_position(fore, true) - 1 + list_position(aft, true) - 1 >= n - 1),
 gone as (select e.doc_id, list(e.pos order by e.pos) as dropped from e join f on e.line = f.line left join near on e.line = near.line where (e.doc_id, e.pos) <> f.place or near.line is not null group by 1)
 select doc_id, coalesce(len(ls), 0) as n_lines, coalesce(len(dropped), 0) as n_dropped, coalesce(array_to_string(dropped, ','), '') as dropped from t left join gone using (doc_id)""",
+    "op10_chat_format": r"""
+with recursive m as (select row_number() over () as r, * from (select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as raw from conversations)),
+x as (select r, unnest(range(len(a))) as i, unnest(a) as line from (select r, regexp_split_to_array(raw, '\r?\n') as a from m)),
+y as (select r, i, length(translate(regexp_extract(line, '^((?:[ \t]*>)+)', 1), ' ' || chr(9), '')) as level, regexp_replace(line, '^((?:[ \t]*>)+)', '') as body from x),
+z as (select *, coalesce(lead(level) over (partition by r order by i), 0) as following from y),
+t as (select r, regexp_replace(coalesce(string_agg(body, chr(10) order by i) filter (level = 0 and not (following > 0 and regexp_matches(body, '(?i)\b(wrote|writes|said)\s*:\s*$'))), ''), '^\s+|\s+$', '', 'g') as text from z group by r),
+f as (select m.*, t.text from m join t using (r)),
+low as (select r, min(level) as level from y where level > 0 group by r),
+q as (select distinct conv_id, turn, trim(regexp_replace(regexp_replace(lower(body), '[*_`]', '', 'g'), '\s+', ' ', 'g')) as line from y join low using (r, level) join m using (r)),
+w as (select distinct conv_id, turn as parent, trim(regexp_replace(regexp_replace(lower(line), '[*_`]', '', 'g'), '\s+', ' ', 'g')) as line from (select conv_id, turn, unnest(string_split(text, chr(10))) as line from f)),
+v as (select q.conv_id, q.turn, w.parent, count(*) as n from q join w using (conv_id, line) where line <> '' and w.parent < q.turn group by all),
+k as (select conv_id, turn, max((n, parent))[2] as parent from v group by all),
+up as (select conv_id, turn, parent, parent as root from k union select up.conv_id, up.turn, up.parent, k.parent from up join k on k.conv_id = up.conv_id and k.turn = up.root),
+roots as (select conv_id, turn, parent, min(root) as root from up group by all),
+o as (select f.conv_id, f.turn, role, text, parent, coalesce(root, f.turn) as root from f left join roots using (conv_id, turn) where trim(text) <> ''),
+p as (select *, row_number() over (partition by conv_id order by root nulls first, turn nulls first, role, text) - 1 as i from o)
+select conv_id, i // 256 as part, count(*) as n_messages, count(parent) as n_linked, string_agg('<|' || role || '|>' || chr(10) || replace(text, '<|', '< |') || chr(10) || '<|end|>' || chr(10), '' order by i) as text from p group by conv_id, i // 256""",
 }
