@@ -3,13 +3,15 @@
 The n-gram count tables are partitioned by hash into buckets, documents into blocks of about BLOCK_BYTES. A block sends
 each bucket the distinct n-grams of its documents with their counts, as one row of packed sorted hashes; however frequent
 an n-gram is, a bucket gets it once from a block. A bucket adds the counts up and answers with the corpus counts in the
-order it was asked. The answers are joined to the block's documents, whose n-grams are laid out anew and scored, and
+order it was asked. The answers are joined to the block's documents (sent compressed), whose n-grams are laid out anew and scored, and
 the scores are summed by document. The order of a block's distinct hashes is the join key, so no hash travels back.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bound_batches, keyed_text
 
 BLOCK_BYTES = 24_000_000
+PACK_CHARS = 16_000_000
 #: Weight of the shorter n-gram, and how often a longer one must occur to be used.
 BACKOFF = 0.4
 MIN_COUNT = 2
@@ -61,12 +64,42 @@ def bucket_bounds(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(hashes, np.array(edges, np.uint64)), len(hashes))
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of a block together and compressed, a bounded number of characters at a time."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    held: dict[int, list[tuple[int | None, str]]] = defaultdict(list)
+
+    def packed() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_pydict({"block": pa.array(held, pa.int32()), "docs": pa.array([pack(pickle.dumps(x)) for x in held.values()], pa.binary())})
+        held.clear()
+        return out
+
+    size = 0
+    for batch in batches:
+        for block, doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held[block].append((doc, text))
+            size += len(text)
+            if size > PACK_CHARS:
+                yield packed()
+                size = 0
+    if held:
+        yield packed()
+
+
+def _unpacked(docs: bytes) -> list[tuple[int | None, str]]:
+    import zstandard
+
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(docs))
+
+
 def _ask(buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, docs = None, []
         for batch in batches:
-            block = batch.column(0)[0].as_py() if batch.num_rows else block
-            docs += map(word_codes, batch.column(1).to_pylist())
+            for block, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):  # noqa: B007
+                docs += [word_codes(text) for _, text in _unpacked(packed)]
         if block is None:
             return
         held = Block(docs)
@@ -122,11 +155,11 @@ def _score(backoff: float, min_count: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, docs, answers = [], [], {}
         for batch in batches:
-            columns = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            for doc, text, bucket, one, two, total in zip(*(columns[n].to_pylist() for n in ("doc_id", "text", "bucket", "counts1", "counts2", "total")), strict=True):
+            for _, packed, bucket, one, two, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket is None:
-                    ids.append(doc)
-                    docs.append(word_codes(text))
+                    for doc, text in _unpacked(packed):
+                        ids.append(doc)
+                        docs.append(word_codes(text))
                 else:
                     answers[bucket] = (one, two, total)
         if not ids:
@@ -162,10 +195,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     n = max(1, math.ceil(size / block_bytes))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    asked = rows.select("block", "text").repartitionById(n, "block").mapInArrow(_ask(n), _ASK)
+    packed = rows.select("block", "doc_id", "text").mapInArrow(_pack, "block int, docs binary")
+    asked = packed.repartitionById(n, "block").mapInArrow(_ask(n), _ASK)
     told = asked.repartitionById(n, "bucket").mapInArrow(_tell(n), _TELL)
     none = {"bucket": "int", "counts1": "binary", "counts2": "binary", "total": "long"}
-    asking = rows.select("block", "doc_id", "text", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
-    telling = told.select("block", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), *none)
+    asking = packed.select("block", "docs", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    telling = told.select("block", F.lit(None).cast("binary").alias("docs"), *none)
     scored = asking.unionAll(telling).repartitionById(n, "block").mapInArrow(_score(backoff, min_count), "doc_id long, n_words long, log_score double")
     return scored.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
