@@ -346,7 +346,7 @@ class Sampler:
         walk(node, shift, doc_of_word, 0, edge_at)
         top = -np.log(-np.log(uniform(draws(seeds, 10_000), zero)))
         paths: list[dict[str, Any]] = [self._path(edge_at, top, docs, doc_at, seeds, 1, logs, None)]
-        chosen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(edge_at, paths[0]["log_prob"], top)]
+        values: list[np.ndarray] = [top]
         bound = np.full(n_docs, -np.inf)
         for j in range(1, k + 1):
             # The best set that is still open, over all paths drawn so far.
@@ -392,8 +392,8 @@ class Sampler:
             walk(np.concatenate([np.array(at, np.int64), node[rest]]), np.concatenate([np.array(move, np.int64), shift[rest]]), np.concatenate([np.array(who, np.int64), doc_of_word[rest]]), j, edge_new)
             path = self._path(edge_new, bound, docs, doc_at, seeds, 1 + j, logs, begin)
             paths.append(path)
-            chosen.append((edge_new, path["log_prob"], np.where(np.isneginf(bound), -np.inf, bound)))
-        yield from self._emit(chosen, bound, doc_at, ids)
+            values.append(bound)
+        yield from self._emit(paths, values, bound, n_docs, ids)
 
     @staticmethod
     def _path(edge_at: np.ndarray, top: np.ndarray, docs: np.ndarray, doc_at: np.ndarray, seeds: np.ndarray, draw: int, logs: np.ndarray, begin: np.ndarray | None) -> dict[str, Any]:
@@ -421,14 +421,12 @@ class Sampler:
         for d in docs.tolist():
             refresh(d)
         index = lambda p: np.searchsorted(place, p)
-        return {"edge_at": edge_at, "value": value, "before": before, "best": best, "where": where, "taken": {}, "refresh": refresh, "index": index, "log_prob": log_prob}
+        return {"edge_at": edge_at, "value": value, "before": before, "best": best, "where": where, "taken": {}, "refresh": refresh, "index": index, "log_prob": log_prob, "place": place, "first": first}
 
-    def _emit(self, chosen: list, bound: np.ndarray, doc_at: np.ndarray, ids: np.ndarray) -> Iterator[tuple[list[np.ndarray], list[tuple[float, float, float]]]]:
+    def _emit(self, paths: list[dict[str, Any]], values: list[np.ndarray], bound: np.ndarray, n_docs: int, ids: np.ndarray) -> Iterator[tuple[list[np.ndarray], list[tuple[float, float, float]]]]:
         flat = []
-        for edge_at, _, _ in chosen:
-            place = np.flatnonzero(edge_at >= 0)
-            found = ids[edge_at[place]]
-            first = np.searchsorted(place, doc_at)
+        for path in paths:
+            first, found = path["first"], ids[path["edge_at"][path["place"]]]
             odd = np.flatnonzero(found < 0)
             if len(odd):  # runs of bytes
                 runs = [self.lattices.byte_runs[-2 - x] for x in found[odd].tolist()]
@@ -441,13 +439,13 @@ class Sampler:
                 found[starts + step] = list(itertools.chain.from_iterable(runs))
                 first = grown[first]
             flat.append((found.astype(np.int32), first))
-        for d in range(len(doc_at) - 1):
+        for d in range(n_docs):
             arrays, facts = [], []
-            for (found, first), (_, log_prob, value) in zip(flat, chosen, strict=True):
+            for (found, first), path, value in zip(flat, paths, values, strict=True):
                 if np.isneginf(value[d]):
                     continue
                 arrays.append(found[first[d] : first[d + 1]])
-                p, last = float(min(log_prob[d], 0.0)), float(bound[d])
+                p, last = float(min(path["log_prob"][d], 0.0)), float(bound[d])
                 # P(a path's perturbed value exceeds the largest that was not drawn); sure if all were drawn.
                 if last == -math.inf:
                     inclusion = 0.0
