@@ -14,6 +14,7 @@ from tessera.functions.types import infer_type, to_type
 from tessera.operators.dataset import Dataset
 from tessera.operators.keyed import KeyedDataset
 from tessera.sources.custom import SplitSource, read_split_source
+from tessera.workers import share_package
 
 #: Settings every context starts from; all can be overridden with ``conf``.
 DEFAULTS = {
@@ -70,6 +71,7 @@ class Context:
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
+        share_package(spark)
 
     @staticmethod
     def builder() -> ContextBuilder:
