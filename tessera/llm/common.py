@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.checkpoints import ensure_checkpoint_dir
+from tessera.workers import share_package
 
 #: Rows that one Arrow batch holds, so that a batch of very long texts still fits in a Python worker.
 BATCH_ROWS = 256
@@ -22,6 +23,8 @@ ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuv
 
 
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Before Python runs on the executors: the size of its batches, and where it finds this package."""
+    share_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
