@@ -194,7 +194,7 @@ def custom_partitioner(spark, d):
 # ---- aggregations --------------------------------------------------------------------------
 
 
-@query("select l_suppkey as k, sum(l_linenumber) as v from lineitem group by 1", name="reduce_by_key_sum")
+@query("select l_suppkey as k, cast(sum(l_linenumber) as bigint) as v from lineitem group by 1", name="reduce_by_key_sum")
 def _reduce_sum(spark, d):
     return pairs(spark, d, "lineitem", "l_suppkey", "l_linenumber").reduce_by_key("sum").df.select(F.col("key").alias("k"), F.col("value").alias("v"))
 
@@ -214,7 +214,7 @@ def reduce_by_key_concat(spark, d):
     return out(pairs(spark, d, "orders", "o_custkey", "o_orderstatus").reduce_by_key("concat"), "k", "v")
 
 
-@query("select n_regionkey as k, sum(n_nationkey) as v from nation group by 1")
+@query("select n_regionkey as k, cast(sum(n_nationkey) as bigint) as v from nation group by 1")
 def reduce_by_key_python(spark, d):
     data = table(spark, d, "nation").key_by(lambda r: r.n_regionkey, lambda r: r.n_nationkey.cast("long"))
     return out(data.reduce_by_key_python(lambda a, b: a + b), "k", "v")
@@ -298,7 +298,7 @@ def global_reduce(spark, d):
     return spark.createDataFrame([(prices.reduce("max"), prices.count())], "top double, n long")
 
 
-@query("select sum(n_nationkey) as total from nation")
+@query("select cast(sum(n_nationkey) as bigint) as total from nation")
 def global_reduce_python(spark, d):
     total = table(spark, d, "nation").map(lambda r: r.n_nationkey).reduce_python(lambda a, b: a + b)
     return spark.createDataFrame([(total,)], "total long")
@@ -356,7 +356,7 @@ def same_lineage_join(spark, d):
     return flat(parent.map_values(lambda v: v + 1).join(parent.filter(lambda k, v: v > 5).map_values(lambda v: v * 2)))
 
 
-@query("select a.k, a.v, b.v as w from (select o_custkey as k, sum(o_orderkey) as v from orders group by 1) a join (select o_custkey as k, count(*) as v from orders group by 1) b on a.k = b.k")
+@query("select a.k, a.v, b.v as w from (select o_custkey as k, cast(sum(o_orderkey) as bigint) as v from orders group by 1) a join (select o_custkey as k, count(*) as v from orders group by 1) b on a.k = b.k")
 def prepartitioned_join(spark, d):
     dealt = pairs(spark, d, "orders", "o_custkey", "o_orderkey").repartition_by_key(4)
     sums = dealt.reduce_by_key("sum").map_values(lambda v: v.cast("decimal(38,0)").cast("long"))
@@ -465,7 +465,7 @@ def _pagerank(spark, d):
 # ---- the example programs ------------------------------------------------------------------
 
 
-@query(f"select substr(w, 1, 1) as k, sum(length(w)) as chars, count(*) as n from ({WORDS_SQL}) where {NOT_BLANK} group by 1")
+@query(f"select substr(w, 1, 1) as k, cast(sum(length(w)) as bigint) as chars, count(*) as n from ({WORDS_SQL}) where {NOT_BLANK} group by 1")
 def join_demo(spark, d):
     first = lambda w: F.substring(w, 1, 1)
     found = words(spark, d)

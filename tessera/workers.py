@@ -1,4 +1,4 @@
-"""Python workers must find this package to unpickle functions that refer to it."""
+"""What all Python workers must agree on: where this package is, and how strings are hashed."""
 
 import os
 
@@ -11,9 +11,11 @@ def share_package(spark: SparkSession) -> None:
     """Puts the folder of this package on the workers' import path.
 
     Workers on this machine then find it wherever the driver was started; on a cluster the package is installed or sent
-    with ``--py-files`` as usual.
+    with ``--py-files`` as usual. String hashes are the same in all workers, which Spark sees to unless it is told not to.
     """
     environment = spark.sparkContext.environment
+    if environment.get("PYTHONHASHSEED", "random") == "random":
+        environment["PYTHONHASHSEED"] = "0"
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _TOP not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([_TOP, *paths])
