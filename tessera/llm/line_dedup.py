@@ -176,8 +176,10 @@ def lines_at(rows: DataFrame, places: DataFrame) -> DataFrame:
     """(at, line): the lines at some places, read from the documents again."""
     wanted = places.select("at", *place_of("at")).groupBy("id").agg(F.collect_list(F.struct("at", "pos")).alias("wanted"))
     wanted = small(checkpointed(wanted.withColumnRenamed("id", "i")), width=24 * F.size("wanted"))
-    found = rows.join(wanted, F.col("id") == F.col("i")).select(F.col("wanted"), lines_of(F.col("text")).alias("lines"))
-    return found.select(F.explode("wanted").alias("w"), "lines").select("w.at", F.get("lines", F.col("w.pos")).alias("line")).filter("line is not null")
+    # The text is split once, and only the lines asked for leave the row.
+    pick = lambda lines: F.transform("wanted", lambda w: F.struct(w["at"].alias("at"), F.get(lines, w["pos"]).alias("line")))
+    found = rows.join(wanted, F.col("id") == F.col("i")).select(F.explode(F.flatten(F.transform(F.array(lines_of(F.col("text"))), pick))).alias("x"))
+    return found.select("x.at", "x.line").filter("line is not null")
 
 
 def near_copies(lines: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
