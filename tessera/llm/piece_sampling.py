@@ -35,9 +35,12 @@ SAMPLES = 2
 ALPHA = 0.5
 #: Characters that are searched together, and lattice nodes that a worker keeps.
 GROUP_CHARS = 600_000
-CACHE_NODES = 1_500_000
+CACHE_NODES = 2_200_000
 
 _NONE = -1
+#: No -log(-log(u)) of a uniform number as made below is larger, and the depth of sets that are looked at first.
+HIGHEST = 38.0
+DEPTH = 80.0
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -54,13 +57,22 @@ def draws(seed: np.ndarray, draw: int) -> np.ndarray:
         return _mixed(seed + np.uint64(0x9E3779B97F4A7C15) * np.uint64(draw + 1))
 
 
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
 def uniform(start: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Uniform numbers in (0, 1) for places of rows."""
     with np.errstate(over="ignore"):
-        bits = _mixed(start + np.uint64(0xD6E8FEB86659FD93) * (place.astype(np.uint64) + np.uint64(1)))
+        bits = _mixed(start + _STEP * place.astype(np.uint64))
     return ((bits >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
 
 
+def shifted(start: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The starting points for places that are counted from ``by`` places later on."""
+    with np.errstate(over="ignore"):
+        return start + _STEP * by.astype(np.uint64)
+
+
 def extended(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Hashes of strings that grow by one code point each."""
     with np.errstate(over="ignore"):
@@ -157,7 +169,7 @@ class Lattices:
         self.byte_runs: list[list[int]] = []
         self._run_of: dict[str, tuple[int, float]] = {}
         self.n_nodes = self.n_edges = 0
-        self._edges = (np.empty(1024, np.float32), np.empty(1024, np.int32), np.empty(1024, np.int32), np.empty(1024))
+        self._edges = (np.empty(1024, np.float32), np.empty(1024, np.int32), np.empty(1024, np.int32), np.empty(1024, np.float32))
         self._nodes = (np.zeros(1024, np.int32), np.zeros(1024, bool))
         self.length = np.zeros(1024, np.int32)  # of a word, at its first node
 
@@ -241,7 +253,7 @@ class Lattices:
     def _grown(old: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
         need = used + len(new)
         if need > len(old):
-            old = np.concatenate([old[:used], np.zeros(max(need, 3 * used // 2) - used, old.dtype)])
+            old = np.concatenate([old[:used], np.zeros(max(need, 6 * used // 5) - used, old.dtype)])
         old[used:need] = new
         return old
 
@@ -324,21 +336,20 @@ class Sampler:
 
         def walk(at: np.ndarray, move: np.ndarray, doc: np.ndarray, draw: int, edge_at: np.ndarray) -> None:
             """Draws edges from the nodes ``at`` to their words' ends and notes each at its place."""
-            start = draws(seeds, draw)
             live = ~final[at]
             at, move, doc = at[live], move[live], doc[live]
+            start = shifted(draws(seeds, draw)[doc], move - doc_at[doc])
             while len(at):
-                place = at + move
-                key = uniform(start[doc], place - doc_at[doc])
+                key = uniform(start, at)
                 e = starts[at]
                 more = np.flatnonzero(keys[e] <= key)
                 while len(more):  # nodes have few edges, so stepping through them beats a search of all keys
                     e[more] += 1
                     more = more[keys[e[more]] <= key[more]]
-                edge_at[place] = e
+                edge_at[at + move] = e
                 at = ends[e]
-                live = ~final[at]
-                at, move, doc = at[live], move[live], doc[live]
+                live = np.flatnonzero(~final[at])
+                at, move, start = at[live], move[live], start[live]
 
         docs = np.arange(n_docs)
         zero = np.zeros(n_docs, np.int64)
@@ -368,7 +379,7 @@ class Sampler:
                 n = place - int(shift[w])
                 taken = path["taken"].setdefault(place, {e_old})
                 rest = [e for e in range(int(starts[n]), int(starts[n + 1])) if e not in taken]
-                shares = np.exp(logs[rest])
+                shares = np.exp(logs[rest].astype(np.float64))
                 u = float(uniform(draws(seeds[d : d + 1], 20_000 + j), np.array([place - doc_at[d]]))[0])
                 e = rest[min(int(np.searchsorted(np.cumsum(shares), u * shares.sum(), side="right")), len(rest) - 1)]
                 # What remains of the set keeps its place in the queue with a smaller value.
@@ -376,7 +387,7 @@ class Sampler:
                 taken.add(e)
                 i = int(path["index"](place))
                 before = float(path["before"][i])
-                mass = before + math.log(float(np.exp(logs[left]).sum())) if left else -np.inf
+                mass = before + math.log(float(np.exp(logs[left].astype(np.float64)).sum())) if left else -np.inf
                 u = uniform(draws(seeds[d : d + 1], 30_000 + j), np.array([place - doc_at[d]]))
                 path["value"][i] = truncated_gumbel(np.array([mass]), bound[d : d + 1], u)[0]
                 path["refresh"](d)
@@ -395,32 +406,43 @@ class Sampler:
             values.append(bound)
         yield from self._emit(paths, values, bound, n_docs, ids)
 
-    @staticmethod
-    def _path(edge_at: np.ndarray, top: np.ndarray, docs: np.ndarray, doc_at: np.ndarray, seeds: np.ndarray, draw: int, logs: np.ndarray, begin: np.ndarray | None) -> dict[str, Any]:
-        """The sets that leave a drawn path at each of its edges, after ``begin``, with their perturbed values."""
+    def _path(self, edge_at: np.ndarray, top: np.ndarray, docs: np.ndarray, doc_at: np.ndarray, seeds: np.ndarray, draw: int, logs: np.ndarray, begin: np.ndarray | None, depth: float = DEPTH) -> dict[str, Any]:
+        """The sets that leave a drawn path at each of its edges, after ``begin``, with their perturbed values.
+
+        A Gumbel variable made of these uniform numbers exceeds its location by less than HIGHEST. Sets deeper than
+        ``depth`` therefore need no value where enough others lie above ``HIGHEST - depth``; else all get one.
+        """
         place = np.flatnonzero(edge_at >= 0)
-        share = logs[edge_at[place]]
+        share = logs[edge_at[place]].astype(np.float64)
         first = np.searchsorted(place, doc_at)  # of each document, and the end
-        doc = np.repeat(docs, np.diff(first))
+        counts = np.diff(first)
         run = np.concatenate([[0.0], np.cumsum(share)])
-        before = run[:-1] - run[first[doc]]
         log_prob = run[first[1:]] - run[first[:-1]]
+        before = run[:-1] - np.repeat(run[first[:-1]], counts)
+        near = np.flatnonzero(before > -depth)
+        at, before, share = place[near], before[near], share[near]
+        bounds = np.searchsorted(near, first)
+        held = np.diff(bounds)
+        doc = np.repeat(docs, held)
         with np.errstate(divide="ignore"):
             mass = before + np.log(-np.expm1(np.minimum(share, 0.0)))
         if begin is not None:
-            mass[place <= begin[doc]] = -np.inf  # these sets belong to the path it has left
-        value = truncated_gumbel(mass, top[doc], uniform(draws(seeds, 40_000 + draw)[doc], place - doc_at[doc]))
+            mass[at <= begin[doc]] = -np.inf  # these sets belong to the path it has left
+        value = truncated_gumbel(mass, top[doc], uniform(draws(seeds, 40_000 + draw)[doc], at - doc_at[doc]))
+        high = np.bincount(doc, value > HIGHEST - depth, len(docs))
+        if ((held < counts) & (high <= self.k) & ~np.isneginf(top)).any():
+            return self._path(edge_at, top, docs, doc_at, seeds, draw, logs, begin, math.inf)
         best, where = np.full(len(docs), -np.inf), np.zeros(len(docs), np.int64)
 
         def refresh(d: int) -> None:
-            a, b = int(first[d]), int(first[d + 1])
+            a, b = int(bounds[d]), int(bounds[d + 1])
             if a < b:
                 i = a + int(np.argmax(value[a:b]))
-                best[d], where[d] = value[i], place[i]
+                best[d], where[d] = value[i], at[i]
 
         for d in docs.tolist():
             refresh(d)
-        index = lambda p: np.searchsorted(place, p)
+        index = lambda p: np.searchsorted(at, p)
         return {"edge_at": edge_at, "value": value, "before": before, "best": best, "where": where, "taken": {}, "refresh": refresh, "index": index, "log_prob": log_prob, "place": place, "first": first}
 
     def _emit(self, paths: list[dict[str, Any]], values: list[np.ndarray], bound: np.ndarray, n_docs: int, ids: np.ndarray) -> Iterator[tuple[list[np.ndarray], list[tuple[float, float, float]]]]:

@@ -41,7 +41,7 @@ def test_samples_are_distinct_paths_with_their_probabilities(sampler, text):
         ((arrays, facts),) = sampler.sample([text], [seed])
         found = [tuple(a.tolist()) for a in arrays]
         assert len(set(found)) == len(found) == min(3, len(want))
-        assert all(abs(want[f] - p) < 1e-6 for f, (p, _, _) in zip(found, facts, strict=True))
+        assert all(abs(want[f] - p) < 1e-5 for f, (p, _, _) in zip(found, facts, strict=True))
         values = [v for _, v, _ in facts]
         assert values == sorted(values, reverse=True)
         assert all(i <= 1e-9 for _, _, i in facts)
