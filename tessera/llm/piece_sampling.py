@@ -107,6 +107,9 @@ class PieceModel:
         import sentencepiece
 
         self.processor = p = sentencepiece.SentencePieceProcessor(model_file=path)
+        #: Whether normalising only marks the spaces, which is then done here.
+        probe = "  A ﬁ\t\u00a0Å e\u0301\n Ⅳ\u3000x  "
+        self.plain = p.normalize(probe) == SPACE + probe.replace(" ", SPACE)
         n = p.get_piece_size()
         self.ids: dict[str, int] = {}
         self.byte_ids: dict[int, int] = {}
@@ -144,7 +147,9 @@ class PieceModel:
             self.tables.append(hashed_table(hashes[order], np.array([self.ids.get(x, _NONE) for x in starts], np.int32)[order]))
 
     def normalize(self, text: str) -> str:
-        return self.processor.normalize(text) if text else ""
+        if not self.plain:
+            return self.processor.normalize(text) if text else ""
+        return SPACE + text.replace(" ", SPACE) if text else ""
 
     def decode(self, ids: pa.Array, offsets: np.ndarray) -> list[str]:
         """The texts of runs of ids; ``offsets`` bound the runs."""
