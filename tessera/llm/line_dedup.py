@@ -21,7 +21,7 @@ from tessera.llm.common import checkpointed, materialized, small
 
 MIN_CHARS = 20
 NEAR_MIN_CHARS = 40
-MAX_EDITS = 1
+MAX_EDITS = 2
 #: More than the lines that any text can have.
 PLACES = 2**31
 
@@ -72,19 +72,19 @@ def _key(length: Column, i: int, segment: Column) -> Column:
     return F.xxhash64(length, F.lit(i), segment)
 
 
-def segment_keys(line: Column, edits: int) -> Column:
-    """The keys under which a line is found: its own segments."""
-    n, parts = F.char_length(line), edits + 1
+def segment_keys(line: Column, n: Column, edits: int) -> Column:
+    """The keys under which a line of n characters is found: its own segments."""
+    parts = edits + 1
     return F.array(*[_key(n, i, F.substring(line, _start(i, n, parts) + 1, _start(i + 1, n, parts) - _start(i, n, parts))) for i in range(parts)])
 
 
-def probe_keys(line: Column, edits: int) -> Column:
-    """The keys that a line looks up: substrings that can equal a segment of a line at most ``edits`` shorter.
+def probe_keys(line: Column, n: Column, edits: int) -> Column:
+    """The keys that a line of n characters looks up: substrings that can equal a segment of a line at most ``edits`` shorter.
 
     Segment i has at most i edits before it and edits - i after it, so its place moves by at most i from the left and
     by at most edits - i from the right.
     """
-    n, parts, out = F.char_length(line), edits + 1, []
+    parts, out = edits + 1, []
     for shorter in range(edits + 1):
         length = n - shorter
         for i in range(parts):
@@ -156,9 +156,11 @@ def _counts_differ(a: Column, b: Column) -> Column:
 
 def keyed_lines(firsts: DataFrame, near_min_chars: int, edits: int) -> DataFrame:
     """at, index, probes, counts: what the near join needs of each line, without its text."""
-    line = F.col("line")
-    near = F.char_length(line) >= near_min_chars
-    return firsts.select("at", F.when(near, segment_keys(line, edits)).alias("index"), F.when(near, probe_keys(line, edits)).alias("probes"), F.when(near, letter_counts(line)).alias("counts"))
+    line, n = F.col("line"), F.col("n")
+    near = n >= near_min_chars
+    # The length is a column of its own, so that it is counted once a line and not once a key.
+    firsts = firsts.select("at", "line", F.char_length("line").alias("n"))
+    return firsts.select("at", F.when(near, segment_keys(line, n, edits)).alias("index"), F.when(near, probe_keys(line, n, edits)).alias("probes"), F.when(near, letter_counts(line)).alias("counts"))
 
 
 def near_pairs(lines: DataFrame, edits: int) -> DataFrame:

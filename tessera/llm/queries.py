@@ -119,17 +119,25 @@ dsh as (select distinct doc_id, n, unnest([array_to_string(w[k:k + n - 1], ' ')
 q as (select item_id, w, count(*) as n_shingles from ish group by all),
 m as (select doc_id, item_id, w, count(*) as n_shared from ish join dsh using (n, s) group by all)
 select doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles as containment from m join q using (item_id, w) where n_shared >= 0.8 * n_shingles - 1e-9""",
-    # One edit in a line of forty characters leaves its first or its last twenty as they are. Two lines are one edit apart
-    # if their common beginning and end leave no more than one character of the longer one.
+    # Two edits in a line of forty characters leave its first thirteen, its last thirteen or those between in one piece,
+    # moved by two places at most. From where two lines first differ, one edit and then what takes at most one edit must
+    # be left; that is so if common beginning and end leave no more than one character of the longer rest.
     "op9_line_dedup": r"""
 with t as (select doc_id, string_split(text, chr(10)) as ls from documents),
 o as (select doc_id, unnest(range(len(ls))) as pos, unnest(ls) as line from t),
 e as (select * from o where length(line) >= 20 and not regexp_full_match(line, '[ 	-
 ]*')),
-f as (select line, min((doc_id, pos)) as place, length(line) as n, length(line) as m from e group by line),
-pairs as (select a.line as x, b.line as y, greatest(a.m, b.m) as n from f b join (select line, place, n as m, unnest(range(n - 1, n + 2)) as n from f where n >= 40) a on a.n = b.n and a.place < b.place where b.n >= 40 and (left(a.line, 20) = left(b.line, 20) or right(a.line, 20) = right(b.line, 20))),
-apart as (select y, n, list_transform(list_zip(string_split(x, ''), string_split(y, '')), lambda z: z[1] is distinct from z[2]) as fore, list_transform(list_zip(string_split(reverse(x), ''), string_split(reverse(y), '')), lambda z: z[1] is distinct from z[2]) as aft from pairs),
-near as (select distinct y as line from apart where list_position(fore, true) - 1 + list_position(aft, true) - 1 >= n - 1),
+f as (select line, min((doc_id, pos)) as place, length(line) as n from e group by line),
+g as (select *, unnest(range(n - 2, n + 3)) as o, substr(line, 14, 13) as mid from f where n >= 40),
+h as (select *, unnest(range(12, 17)) as s from f where n >= 40),
+met as (select a.line as x, b.line as y from g a join f b on a.o = b.n and left(a.line, 13) = left(b.line, 13) where b.n >= 40 and a.place < b.place
+union select a.line, b.line from g a join f b on a.o = b.n and right(a.line, 13) = right(b.line, 13) where b.n >= 40 and a.place < b.place
+union select a.line, b.line from g a join h b on a.o = b.n and a.mid = substr(b.line, b.s, 13) where a.place < b.place),
+chars as (select y, string_split(x, '') as p, string_split(y, '') as q from met),
+first as (select *, coalesce(list_position(list_transform(list_zip(p, q), lambda z: z[1] is distinct from z[2]), true), len(p) + 1) as i from chars),
+rest as (select y, p[i + 1:] as p, q[i + 1:] as q from first union all select y, p[i + 1:], q[i:] from first union all select y, p[i:], q[i + 1:] from first),
+apart as (select y, greatest(len(p), len(q)) as n, p = q as same, list_position(list_transform(list_zip(p, q), lambda z: z[1] is distinct from z[2]), true) - 1 as fore, list_position(list_transform(list_zip(list_reverse(p), list_reverse(q)), lambda z: z[1] is distinct from z[2]), true) - 1 as aft from rest),
+near as (select distinct y as line from apart where same or fore + aft >= n - 1),
 gone as (select e.doc_id, list(e.pos order by e.pos) as dropped from e join f on e.line = f.line left join near on e.line = near.line where (e.doc_id, e.pos) <> f.place or near.line is not null group by 1)
 select doc_id, coalesce(len(ls), 0) as n_lines, coalesce(len(dropped), 0) as n_dropped, coalesce(array_to_string(dropped, ','), '') as dropped from t left join gone using (doc_id)""",
     "op10_chat_format": r"""

@@ -143,6 +143,15 @@ def test_line_dedup_equals_brute_force(spark, most, sized):
     assert line_dedup.dedup_lines(frame.limit(0)).collect() == []
 
 
+def test_line_dedup_drops_lines_two_edits_away(spark):
+    line = "a line of more than forty characters, the first of all"
+    docs = [(1, line), (2, line.replace("forty", "fxrty").replace("first", "fxrst")), (3, line.replace("line", "lne").replace("all", "al")), (4, line.replace("forty", "fxrtx").replace("first", "fxrst"))]
+    found = line_dedup.dropped_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    # The last line is three edits from the first, but one from the second, which is dropped and still counts as earlier.
+    assert {r["doc_id"]: r["dropped"] for r in found} == {1: [], 2: [0], 3: [0], 4: [0]}
+    assert {r["doc_id"]: r["dropped"] for r in line_dedup.dropped_lines(spark.createDataFrame([docs[0], docs[3]], "doc_id long, text string")).collect()} == {1: [], 4: []}
+
+
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_banded_automaton_equals_edit_distance(spark, k):
     rng = random.Random(k)
