@@ -445,7 +445,8 @@ def custom_source(spark, d):
     return Context(spark).from_source(Squares(3)).df
 
 
-EDGES_SQL = "select distinct l_suppkey % 50 as src, l_partkey % 50 as dst from lineitem where l_suppkey % 50 <> l_partkey % 50 and ((l_suppkey % 50) * 7 + l_partkey % 50) % 5 = 0"
+# Suppliers and parts are nodes of one graph: suppliers have the even numbers, parts the odd ones.
+EDGES_SQL = "select distinct l_suppkey * 2 as src, l_partkey * 2 + 1 as dst from lineitem union select distinct l_partkey * 2 + 1, l_suppkey * 2 from lineitem"
 
 
 def _rank_sql(rounds: int) -> str:
@@ -457,8 +458,9 @@ def _rank_sql(rounds: int) -> str:
 
 @query(_rank_sql(3), name="pagerank")
 def _pagerank(spark, d):
-    s, t = F.col("l_suppkey") % 50, F.col("l_partkey") % 50
-    edges = table(spark, d, "lineitem").df.select(s.alias("src"), t.alias("dst")).filter((F.col("src") != F.col("dst")) & ((F.col("src") * 7 + F.col("dst")) % 5 == 0))
+    supplier, part = F.col("l_suppkey") * 2, F.col("l_partkey") * 2 + 1
+    bought = table(spark, d, "lineitem").df.select(supplier.alias("src"), part.alias("dst")).distinct()
+    edges = bought.unionAll(bought.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return pagerank(edges, 3).select("node", F.round("rank", 6).alias("rank"))
 
 

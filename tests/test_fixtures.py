@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import AggFunction, is_blank, shift_char, to_type
 from tessera.plans import pagerank
+from tessera.plans.queries import QUERIES
 from tessera.sources import SplitSource
 
 AGES3 = [("hp", 18), ("hp1", 19), ("hp2", 20)]
@@ -168,6 +169,18 @@ def test_pagerank_fixed_point(spark):
     assert all(abs(ranks[i] - 0.6936936936936938) < 1e-7 for i in (2, 3, 4))
 
 
+def test_pagerank_query_runs_on_all_ids(spark, tmp_path):
+    rows = [(1, 51), (51, 1), (1, 101), (1, 51), (101, 1), (2, 2), (50, 100), (7, 250), (51, 250)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    edges = {e for s, p in rows for e in ((("s", s), ("p", p)), (("p", p), ("s", s)))}
+    nodes = {x for x, _ in edges}
+    ranks = dict.fromkeys(nodes, 1.0)
+    for _ in range(3):
+        ranks = {x: 0.15 + 0.85 * sum(ranks[s] / sum(s == a for a, _ in edges) for s, t in edges if t == x) for x in nodes}
+    found = {r["node"]: r["rank"] for r in QUERIES["pagerank"](spark, str(tmp_path)).collect()}
+    assert found == {2 * i + (kind == "p"): pytest.approx(rank, abs=1e-6) for (kind, i), rank in ranks.items()}
+
+
 def test_text_and_adjacency(ctx, tmp_path):
     (tmp_path / "a.txt").write_text("x y\n\nz")
     (tmp_path / "empty.txt").write_text("")
