@@ -158,6 +158,17 @@ def test_cache(ctx):
         data.cache("TAPE")
 
 
+def test_join_queries_take_whole_tables(spark, tmp_path):
+    customers = [(1, 10), (2, 20), (3, 30), (4, 40), (6, 60)]
+    orders = [(1, 100), (1, 101), (2, 102), (3, 103), (6, 104), (6, 105), (7, 106), (8, 107)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame(orders, "o_custkey long, o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    both = [(1, 10, 100), (1, 10, 101), (2, 20, 102), (3, 30, 103), (6, 60, 104), (6, 60, 105)]
+    left, right = [(4, 40, None)], [(7, None, 106), (8, None, 107)]
+    for name, want in {"inner_join": both, "left_join": both + left, "right_join": both + right, "full_join": both + left + right}.items():
+        assert sorted((tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str), name
+
+
 EDGES6 = [(1, 2), (1, 3), (1, 4), (2, 1), (3, 1), (4, 1)]
 
 
