@@ -18,14 +18,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ascii_lower, arrow_column, bound_batches
 
-#: Mining parameters. A transaction holds at most MAX_ITEMS tokens (the first by level and name), so it has at most
-#: 2 ** (MAX_ITEMS + 1) subsets, and at most that over MIN_SUPPORT sets are frequent: the rules have a fixed bound.
+#: Mining parameters. A transaction holds all tokens of its page; FP-growth itself drops the tokens below the minimum
+#: support, which are in no frequent set. The sets grow with the number of tokens that are frequent together.
 #: A set of fewer than MIN_PAGES pages is no evidence, whatever its share.
 MIN_SUPPORT = 0.01
 MIN_PAGES = 20
 MIN_CONFIDENCE = 0.8
 MIN_LIFT = 1.5
-MAX_ITEMS = 8
 
 BLOCK, ALLOW = "!block", "!allow"
 
@@ -121,9 +120,8 @@ def mine_rules(tagged: DataFrame, labels: DataFrame, min_support: float = MIN_SU
     """
     said = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     said = said.filter(F.col("page_id").isNotNull() & F.col("bad").isNotNull()).groupBy("page_id").agg(F.bool_or("bad").alias("bad"))
-    few = F.slice(F.array_sort("tokens"), 1, MAX_ITEMS)
     item = F.array(F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))
-    baskets = tagged.join(said, "page_id").select(F.concat(few, item).alias("items"))
+    baskets = tagged.join(said, "page_id").select(F.concat("tokens", item).alias("items"))
     n = baskets.count()
     if n < MIN_PAGES:
         return []

@@ -157,6 +157,15 @@ def test_url_rules_equal_brute_force(spark):
     assert url_filters.filter_urls(pages.limit(0), labels).collect() == []
 
 
+def test_url_rules_are_mined_from_all_tokens(spark):
+    """Ten tokens of host and path come before the query key that tells the pages apart."""
+    url = "https://a.b.c.d.example.org/one/two/three/four?{}=1"
+    pages = [(i, url.format("spam" if i % 2 else "page")) for i in range(80)]
+    labels = [(i, 0 if i % 2 else 1, 0) for i in range(80)]
+    found = url_filters.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert {r["page_id"]: r["verdict"] for r in found} == {i: "block" if i % 2 else "allow" for i, _ in pages}
+
+
 def test_url_rules_are_mined_from_labels(spark):
     pages = [(i, f"https://www.{'spam' if i % 4 == 0 else 'good'}{i % 3}.org/{'win' if i % 4 == 0 else 'read'}/{i}") for i in range(400)]
     labels = [(i, 0 if i % 4 == 0 else 1, 0) for i in range(0, 400)] + [(None, 0, 0), (1, None, None)]
