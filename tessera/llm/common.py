@@ -33,6 +33,16 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands in expressions, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def boxed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of ``docs`` as one struct ``row`` beside named columns, so that none of theirs clashes with these."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
@@ -79,4 +89,4 @@ def small(df: DataFrame, width: Column | None = None) -> DataFrame:
     return F.broadcast(df) if seen["n"] <= BROADCAST_ROWS and (seen["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
-__all__ = ["ascii_lower", "arrow_column", "bound_batches", "checkpointed", "ensure_checkpoint_dir", "keyed_text", "materialized", "small"]
+__all__ = ["ascii_lower", "arrow_column", "bound_batches", "boxed", "checkpointed", "ensure_checkpoint_dir", "keyed_text", "materialized", "quoted", "small"]

@@ -14,10 +14,10 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, materialized, small
+from tessera.llm.common import boxed, checkpointed, materialized, quoted, small
 
 MIN_CHARS = 20
 NEAR_MIN_CHARS = 40
@@ -25,8 +25,8 @@ MAX_EDITS = 2
 #: More than the lines that any text can have.
 PLACES = 2**31
 
-# Letters that are frequent in many languages.
-LETTERS = "entahr"
+#: At most 32 characters, whose counts part lines that only share a segment.
+LETTERS = "abcdefghijklmnopqrstuvwxyz .,"
 
 _BLANK = r"^[\x20\x09-\x0D]*$"
 
@@ -136,42 +136,47 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of six frequent letters, three bits each (modulo 8)."""
-    n = F.char_length(line)
-    out = F.lit(0).cast("long")
+    """Counts of LETTERS, two bits each, modulo 4 in Gray code: a count that moves by one flips one bit."""
+    n, out = F.char_length(line), F.lit(0).cast("long")
     for k, letter in enumerate(LETTERS):
-        count = n - F.char_length(F.replace(line, F.lit(letter), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(7)).cast("long"), 3 * k))
+        count = (n - F.char_length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(3))
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseXOR(F.shiftright(count, 1)).cast("long"), 2 * k))
     return out
 
 
-def _counts_differ(a: Column, b: Column) -> Column:
-    """A lower bound on the summed difference of the counts; an edit changes the counts by two at most."""
-    out = F.lit(0)
-    for k in range(len(LETTERS)):
-        x, y = F.shiftright(a, 3 * k), F.shiftright(b, 3 * k)
-        out = out + F.least((x - y).bitwiseAND(F.lit(7)), (y - x).bitwiseAND(F.lit(7)))
-    return out
+def counts_differ(a: Column, b: Column) -> Column:
+    """A lower bound on the summed difference of two lines' letter counts; an edit changes the counts by two at most."""
+    return F.bit_count(a.bitwiseXOR(b))
 
 
 def keyed_lines(firsts: DataFrame, near_min_chars: int, edits: int) -> DataFrame:
-    """at, index, probes, counts: what the near join needs of each line, without its text."""
+    """at, index, probes: the places of lines and what the near join needs of them, without their texts."""
     line, n = F.col("line"), F.col("n")
     near = n >= near_min_chars
     # The length is a column of its own, so that it is counted once a line and not once a key.
     firsts = firsts.select("at", "line", F.char_length("line").alias("n"))
-    return firsts.select("at", F.when(near, segment_keys(line, n, edits)).alias("index"), F.when(near, probe_keys(line, n, edits)).alias("probes"), F.when(near, letter_counts(line)).alias("counts"))
+    return firsts.select("at", F.when(near, segment_keys(line, n, edits)).alias("index"), F.when(near, F.array_distinct(probe_keys(line, n, edits))).alias("probes"))
+
+
+def meeting_lines(lines: DataFrame) -> DataFrame:
+    """(key, at, held): the keys that two or more lines have, with each line that holds the key or probes it."""
+    kinds = [lines.select(F.explode(c).alias("key"), "at", F.lit(c == "index").alias("held")) for c in ("index", "probes")]
+    here = Window.partitionBy("key")
+    rows = kinds[0].unionAll(kinds[1]).withColumns({"least": F.min("at").over(here), "most": F.max("at").over(here)})
+    return rows.filter("least < most").select("key", "at", "held")
 
 
-def near_pairs(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b): places of distinct lines that share a segment and have about the same letters, the earlier line first.
+def near_pairs(met: DataFrame, text: DataFrame, edits: int) -> DataFrame:
+    """(a, b): places of lines that share a segment and have about the same letters, the earlier line first.
 
-    Variants of one line that differ in whole words share segments too; their letter counts part them inside the join.
+    Variants of one line that differ in whole words share segments too; their letter counts part them inside the join,
+    so what comes out of it follows the number of lines that are near each other.
     """
-    index = lines.select(F.explode("index").alias("key"), F.col("at").alias("a"), F.col("counts").alias("ca"))
-    probes = lines.select(F.explode("probes").alias("key"), F.col("at").alias("b"), F.col("counts").alias("cb"))
-    met = probes.join(index, (probes["key"] == index["key"]) & (F.col("a") != F.col("b")) & (_counts_differ(F.col("ca"), F.col("cb")) <= 2 * edits))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = met.join(text.select("at", letter_counts(F.col("line")).alias("letters")), "at")
+    index = known.filter("held").select("key", F.col("at").alias("a"), F.col("letters").alias("x"))
+    probes = known.filter("not held").select("key", F.col("at").alias("b"), F.col("letters").alias("y"))
+    found = probes.join(index, (probes["key"] == index["key"]) & (F.col("a") != F.col("b")) & (counts_differ(F.col("x"), F.col("y")) <= 2 * edits))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def lines_at(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -185,11 +190,12 @@ def lines_at(rows: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def near_copies(lines: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
-    """Places of lines that have an earlier line within the threshold."""
-    pairs = checkpointed(near_pairs(lines, edits))
-    text = materialized(lines_at(rows, pairs.select(F.col("a").alias("at")).unionAll(pairs.select(F.col("b").alias("at"))).distinct()))
-    met = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b")
-    return met.filter(within_edits(F.col("x"), F.col("y"), edits)).select(F.col("b").alias("at")).distinct()
+    """Places of lines that have an earlier line within the threshold. Only lines that meet another are read again."""
+    met = materialized(meeting_lines(lines))
+    text = materialized(lines_at(rows, met.select("at").distinct()))
+    pairs = near_pairs(met, text, edits)
+    both = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b")
+    return both.filter(within_edits(F.col("x"), F.col("y"), edits)).select(F.col("b").alias("at")).distinct()
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_min_chars: int = NEAR_MIN_CHARS, edits: int = MAX_EDITS) -> DataFrame:
@@ -219,18 +225,23 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_min_chars: int = NEAR_MIN_CHARS, edits: int = MAX_EDITS) -> DataFrame:
-    """``docs`` with the dropped lines taken out of their texts; all rows and columns stay."""
-    kept = kept_lines(docs, id_col, text_col, min_chars, near_min_chars, edits).toDF("__id", "__kept")
-    joined = docs.join(kept, docs[id_col] == kept["__id"], "left")
-    lines = lines_of(F.col(text_col))
-    numbers = F.filter(F.transform(lines, lambda x, i: F.when(_eligible(x, min_chars), i)), lambda i: i.isNotNull())
-    dropped = F.array_sort(F.array_except(numbers, F.coalesce("__kept", F.array().cast("array<int>"))))
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_min_chars: int = NEAR_MIN_CHARS, edits: int = MAX_EDITS, keep_emptied: bool = True) -> DataFrame:
+    """``docs`` with the dropped lines taken out of their texts; all columns stay, and all rows.
+
+    Unless ``keep_emptied``, a row goes if lines were dropped from it and what is left is blank.
+    """
+    kept = kept_lines(docs, id_col, text_col, min_chars, near_min_chars, edits)
+    held = boxed(docs, doc=F.col(id_col).cast("long"), lines=lines_of(F.col(text_col).cast("string")))
+    joined = held.join(kept, held["doc"] == kept["id"], "left")
+    numbers = F.filter(F.transform("lines", lambda x, i: F.when(_eligible(x, min_chars), i)), lambda i: i.isNotNull())
+    dropped = F.when(F.col("doc").isNotNull(), F.array_sort(F.array_except(numbers, F.coalesce("kept", F.array().cast("array<int>")))))
+    changed = joined.select("row", "lines", dropped.alias("dropped"))
     # The lines between dropped ones, as slices: linear in the number of lines.
-    begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("__dropped", k - 1) + 1)
-    end = lambda k: F.coalesce(F.get("__dropped", k), F.size("__lines"))
-    parts = F.transform(F.sequence(F.lit(0), F.size("__dropped")), lambda k: F.slice("__lines", begin(k) + 1, end(k) - begin(k)))
-    cleaned = F.array_join(F.flatten(parts), "\n")
-    changed = joined.withColumns({"__lines": lines, "__dropped": dropped})
-    text = F.when(F.col(id_col).isNull() | F.col(text_col).isNull() | (F.size("__dropped") == 0), F.col(text_col)).otherwise(cleaned)
-    return changed.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get("dropped", k - 1) + 1)
+    end = lambda k: F.coalesce(F.get("dropped", k), F.size("lines"))
+    parts = F.transform(F.sequence(F.lit(0), F.size("dropped")), lambda k: F.slice("lines", begin(k) + 1, end(k) - begin(k)))
+    cleaned = changed.select("row", F.when(F.size("dropped") > 0, F.array_join(F.flatten(parts), "\n")).alias("cleaned"))
+    if not keep_emptied:
+        cleaned = cleaned.filter(F.col("cleaned").isNull() | ~F.col("cleaned").rlike(r"^[\x20\x09-\x0D]*$"))
+    text = F.coalesce("cleaned", F.col("row").getField(text_col))
+    return cleaned.select(F.col("row").withField(quoted(text_col), text).alias("row")).select("row.*")
