@@ -29,9 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars follows the text. Documents that were blank before stay as they are.
     """
-    before = docs.withColumn("__blank", F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True)))
-    after = dedup_lines(before).filter(F.col("__blank") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return after.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    after = dedup_lines(docs, keep_emptied=False)
+    return after.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
