@@ -17,7 +17,7 @@ import functools
 import itertools
 import math
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ ALPHA = 0.5
 #: Characters that are searched together, and lattice nodes that a worker keeps.
 GROUP_CHARS = 600_000
 CACHE_NODES = 2_200_000
+EDGES_OF_NODE = 6
 
 _NONE = -1
 #: No -log(-log(u)) of a uniform number as made below is larger, and the depth of sets that are looked at first.
@@ -167,6 +168,11 @@ class Lattices:
 
     def __init__(self, model: PieceModel) -> None:
         self.model = model
+        # Memory is only taken as it is filled.
+        nodes, edges = CACHE_NODES + 2, EDGES_OF_NODE * CACHE_NODES
+        self._edges = (np.empty(edges, np.float32), np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges, np.float32))
+        self._nodes = (np.zeros(nodes, np.int32), np.zeros(nodes, np.int32))
+        self.length = np.zeros(nodes, np.int32)  # of a word, at its first node
         self.clear()
 
     def clear(self) -> None:
@@ -174,55 +180,52 @@ class Lattices:
         self.byte_runs: list[list[int]] = []
         self._run_of: dict[str, tuple[int, float]] = {}
         self.n_nodes = self.n_edges = 0
-        self._edges = (np.empty(1024, np.float32), np.empty(1024, np.int32), np.empty(1024, np.int32), np.empty(1024, np.float32))
-        self._nodes = (np.zeros(1024, np.int32), np.zeros(1024, bool))
-        self.length = np.zeros(1024, np.int32)  # of a word, at its first node
 
     def add(self, keys_of: list[str]) -> None:
-        """Builds the lattices of new words together and appends them to the arrays, which double when they are full."""
-        words = [k[:-1] if k[-1:] == SPACE and k.strip(SPACE) else SPACE + k for k in keys_of]
+        """Builds the lattices of new words together and appends them to the arrays, which grow when they are full."""
+        words = [SPACE + k for k in keys_of]
+        for i in [i for i, k in enumerate(keys_of) if k[-1:] == SPACE and k.strip(SPACE)]:
+            words[i] = keys_of[i][:-1]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         text = "".join(words)
         start, size, ids, value = self._pieces(text, np.repeat(offsets[1:], sizes))
-        order = np.argsort(start, kind="stable")
-        start, size, ids, value = start[order], size[order], ids[order], value[order]
-        # Summed log-probability of all paths from a place to its word's end: places nearest to an end come first.
-        slots = np.repeat(np.arange(len(words)), sizes)  # each word has one more node than characters
-        left = np.repeat(offsets[1:], sizes) - np.arange(len(text))
+        # Summed log-probability of all paths from a place to its word's end: places nearest to an end come first, and
+        # the edges of a place stay together.
+        by_place = np.argsort(start, kind="stable")
+        left = (np.repeat(offsets[1:], sizes) - np.arange(len(text))).astype(np.uint16 if sizes.max() < 65536 else np.int64)  # sorted by radix if they are short
+        ahead = left[start[by_place]]
+        turn = by_place[np.argsort(ahead, kind="stable")]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(ahead))])
+        here = (np.arange(len(text)) + np.repeat(np.arange(len(words)), sizes))[start[turn]]  # each word has one more node than characters
+        there, ids, share = here + size[turn], ids[turn], value[turn]
         back = np.zeros(len(text) + len(words))
-        here, there = start + slots[start], start + slots[start] + size
-        ahead = left[start].astype(np.uint16 if sizes.max() < 65536 else np.int64)  # sorted by radix if they are short
-        turn = np.argsort(ahead, kind="stable")
-        bounds = np.searchsorted(ahead[turn], np.arange(1, int(sizes.max()) + 2))
-        for a, b in itertools.pairwise(bounds.tolist()):
-            if a < b:
-                edges = turn[a:b]
-                value[edges] += back[there[edges]]
-                heads = np.flatnonzero(np.diff(here[edges], prepend=-1))
-                back[here[edges[heads]]] = np.logaddexp.reduceat(value[edges], heads)
-        share = value - back[here]
         heads = np.flatnonzero(np.diff(here, prepend=-1))
+        inner = np.searchsorted(heads, bounds)
+        for i, (a, b) in enumerate(itertools.pairwise(bounds.tolist())):
+            if a < b:
+                share[a:b] += back[there[a:b]]
+                first = heads[inner[i] : inner[i + 1]]
+                back[here[first]] = np.logaddexp.reduceat(share[a:b], first - a)
         counts = np.diff(np.append(heads, len(here)))
+        share -= np.repeat(back[here[heads]], counts)
         run = np.cumsum(np.exp(share))
         total = run - np.repeat(np.concatenate([[0.0], run[heads[1:] - 1]]), counts)
         base = self.n_nodes
         total[np.append(heads[1:], len(here)) - 1] = 1.0
         share[heads[counts == 1]] = 0.0
-        per_node = np.zeros(len(text) + len(words), np.int64)
-        per_node[here[heads]] = counts
-        final = np.zeros(len(per_node), bool)
-        final[offsets[1:] + np.arange(len(words))] = True
+        starts, held = np.zeros((2, len(back)), np.int32)
+        starts[here[heads]], held[here[heads]] = self.n_edges + heads, counts
+        there += base
         nodes, edges = self.n_nodes, self.n_edges
-        self._edges = tuple(self._grown(old, edges, new) for old, new in zip(self._edges, (total, base + there, ids, share), strict=True))
-        starts, ends = self._nodes
-        self._nodes = (self._grown(starts, nodes + 1, edges + np.cumsum(per_node)), self._grown(ends, nodes, final))
+        self._edges = tuple(self._grown(old, edges, new) for old, new in zip(self._edges, (total, there, ids, share), strict=True))
+        self._nodes = tuple(self._grown(old, nodes, new) for old, new in zip(self._nodes, (starts, held), strict=True))
         begin = offsets[:-1] + np.arange(len(words))
-        length = np.zeros(len(per_node), np.int32)
+        length = np.zeros(len(back), np.int32)
         length[begin] = sizes
         self.length = self._grown(self.length, nodes, length)
         self.first.update(zip(keys_of, (base + begin).tolist(), strict=True))
-        self.n_nodes += len(per_node)
+        self.n_nodes += len(back)
         self.n_edges += len(here)
 
     def _pieces(self, text: str, word_end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -263,9 +266,9 @@ class Lattices:
         return old
 
     def arrays(self) -> tuple:
-        """cumulated shares, ends, ids, log shares, first edge of each node, whether a node ends a word."""
-        n, (starts, final) = self.n_edges, self._nodes
-        return *(x[:n] for x in self._edges), starts, final
+        """cumulated shares, ends, ids, log shares, first edge and edges of each node; a node that ends a word has none."""
+        n, m = self.n_edges, self.n_nodes
+        return *(x[:n] for x in self._edges), *(x[:m] for x in self._nodes)
 
 
 def truncated_gumbel(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -275,63 +278,97 @@ def truncated_gumbel(location: np.ndarray, bound: np.ndarray, u: np.ndarray) ->
     return np.where(np.isneginf(location), -np.inf, np.minimum(out, bound))
 
 
+class Sampled(NamedTuple):
+    """Segmentations in the order of (text, sample): where each one's ids begin, the ids, and what is known of each."""
+
+    text: np.ndarray
+    sample: np.ndarray
+    offsets: np.ndarray
+    ids: np.ndarray
+    log_prob: np.ndarray
+    value: np.ndarray
+    inclusion: np.ndarray
+
+
 class Sampler:
     def __init__(self, path: str, k: int = SAMPLES, alpha: float = ALPHA) -> None:
         self.model = PieceModel(path, alpha)
         self.lattices = Lattices(self.model)
         self.k = k
 
+    def groups(self, texts: list[str], seeds: list[int]) -> Iterator[tuple[int, Sampled]]:
+        """The segmentations of texts that are searched together, with the number of the first of these texts."""
+        begin = size = 0
+        for i, text in enumerate(texts):
+            if i > begin and size + len(text) > GROUP_CHARS:
+                yield begin, self._group(texts[begin:i], seeds[begin:i])
+                begin, size = i, 0
+            size += len(text)
+        if begin < len(texts):
+            yield begin, self._group(texts[begin:], seeds[begin:])
+
     def sample(self, texts: list[str], seeds: list[int]) -> Iterator[tuple[list[np.ndarray], list[tuple[float, float, float]]]]:
         """For each text its segmentations as id arrays, and (log-probability, perturbed value, log inclusion) of each."""
-        group: list[tuple[str, int]] = []
-        size = 0
-        for text, seed in zip(texts, seeds, strict=True):
-            norm = self.model.normalize(text)
-            if group and size + len(norm) > GROUP_CHARS:
-                yield from self._group(group)
-                group, size = [], 0
-            group.append((norm, seed))
-            size += len(norm)
-        if group:
-            yield from self._group(group)
+        for _, found in self.groups(texts, seeds):
+            arrays = np.split(found.ids, found.offsets[1:-1])
+            facts = list(zip(found.log_prob.tolist(), found.value.tolist(), found.inclusion.tolist(), strict=True))
+            for a, b in itertools.pairwise(np.searchsorted(found.text, np.arange(int(found.text[-1]) + 2)).tolist()):
+                yield arrays[a:b], facts[a:b]
 
     @staticmethod
-    def _words(norms: list[str]) -> tuple[list[str], list[int]]:
-        """Keys of all words: the word without its first space mark, or, if it has none, with a mark at its end."""
-        words: list[str] = []
-        counts: list[int] = []
-        for norm in norms:
-            head, *parts = norm.split(SPACE) if norm else [""]
-            if "" in parts:  # a run of spaces belongs to the word after it
-                spaced, held = parts, ""
-                parts = []
-                for x in spaced[:-1]:
-                    if x:
-                        parts.append(held + x)
-                        held = ""
-                    else:
-                        held += SPACE
-                parts.append(held + spaced[-1])
-            if head:
-                parts = [head + SPACE, *parts]
-            words += parts
-            counts.append(len(parts))
-        return words, counts
-
-    def _group(self, group: list[tuple[str, int]]) -> Iterator[tuple[list[np.ndarray], list[tuple[float, float, float]]]]:
+    def _words(norm: str) -> list[str]:
+        """Keys of a text's words: the word without its first space mark, or, if it has none, with a mark at its end."""
+        head, *parts = norm.split(SPACE) if norm else [""]
+        if "" in parts:  # a run of spaces belongs to the word after it
+            spaced, held = parts, ""
+            parts = []
+            for x in spaced[:-1]:
+                if x:
+                    parts.append(held + x)
+                    held = ""
+                else:
+                    held += SPACE
+            parts.append(held + spaced[-1])
+        return [head + SPACE, *parts] if head else parts
+
+    def _encoded_words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct keys, number of each word's key, words of each text)."""
+        if self.model.plain:
+            lists = pc.split_pattern(pa.array([t.replace(SPACE, " ") for t in texts], pa.large_string()), " ")
+            words = lists.flatten()
+            counts = np.diff(lists.offsets.to_numpy())
+            # Words between single spaces are their own keys; texts with empty ones among them are cut in Python.
+            empty = np.flatnonzero(pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False))
+            odd = np.unique(np.searchsorted(np.cumsum(counts), empty, side="right"))
+        else:
+            words, counts, odd = pa.array([], pa.large_string()), np.zeros(len(texts), np.int64), np.arange(len(texts))
+        if len(odd):
+            held = [self._words(self.model.normalize(texts[i])) for i in odd.tolist()]
+            plain = np.ones(len(texts), bool)
+            plain[odd] = False
+            owner = np.repeat(np.arange(len(texts)), counts)
+            words = pa.concat_arrays([words.filter(pa.array(plain[owner])), pa.array(list(itertools.chain.from_iterable(held)), pa.large_string())])
+            counts = counts.copy()
+            counts[odd] = [len(x) for x in held]
+            owner = np.concatenate([owner[plain[owner]], np.repeat(odd, counts[odd])])
+            order = np.argsort(owner, kind="stable")
+        encoded = words.dictionary_encode()
+        codes = encoded.indices.to_numpy()
+        return encoded.dictionary.to_numpy(zero_copy_only=False).tolist(), codes[order] if len(odd) else codes, counts
+
+    def _group(self, texts: list[str], seed_list: list[int]) -> Sampled:
         lat, k = self.lattices, self.k
-        words, counts = self._words([n for n, _ in group])
-        unique = set(words)
-        missing = unique - lat.first.keys()
+        unique, codes, counts = self._encoded_words(texts)
+        missing = [w for w in unique if w not in lat.first]
         if lat.n_nodes + sum(map(len, missing)) + 2 * len(missing) > CACHE_NODES:
             lat.clear()
             missing = unique
         if missing:
-            lat.add(list(missing))
-        keys, ends, ids, logs, starts, final = lat.arrays()
-        n_docs = len(group)
-        seeds = np.array([s & 0xFFFFFFFFFFFFFFFF for _, s in group], np.uint64)
-        node = np.fromiter(map(lat.first.__getitem__, words), np.int64, len(words))
+            lat.add(missing)
+        keys, ends, ids, logs, starts, held = lat.arrays()
+        n_docs = len(texts)
+        seeds = np.array([s & 0xFFFFFFFFFFFFFFFF for s in seed_list], np.uint64)
+        node = np.fromiter(map(lat.first.__getitem__, unique), np.int64, len(unique))[codes]
         size = lat.length[node].astype(np.int64)
         word_at = np.concatenate([[0], np.cumsum(size)])  # place of each word in the group's characters
         doc_of_word = np.repeat(np.arange(n_docs), counts)
@@ -341,7 +378,7 @@ class Sampler:
 
         def walk(at: np.ndarray, move: np.ndarray, doc: np.ndarray, draw: int, edge_at: np.ndarray) -> None:
             """Draws edges from the nodes ``at`` to their words' ends and notes each at its place."""
-            live = ~final[at]
+            live = np.flatnonzero(held[at])
             at, move, doc = at[live], move[live], doc[live]
             start = shifted(draws(seeds, draw)[doc], move - doc_at[doc])
             while len(at):
@@ -353,7 +390,7 @@ class Sampler:
                     more = more[keys[e[more]] <= key[more]]
                 edge_at[at + move] = e
                 at = ends[e]
-                live = np.flatnonzero(~final[at])
+                live = np.flatnonzero(held[at])
                 at, move, start = at[live], move[live], start[live]
 
         docs = np.arange(n_docs)
@@ -373,43 +410,51 @@ class Sampler:
                 break
             open_docs = np.flatnonzero(~np.isneginf(bound))
             edge_new = np.full(total, _NONE, np.int32)
-            at, move, who = [], [], []
             left_word = np.full(n_docs, len(node), np.int64)
             begin = np.full(n_docs, total + 1, np.int64)
-            for d in open_docs.tolist():
-                path = paths[source[d]]
-                place = int(path["where"][d])
-                e_old = int(path["edge_at"][place])
-                w = int(np.searchsorted(word_at, place, side="right")) - 1
-                n = place - int(shift[w])
-                taken = path["taken"].setdefault(place, {e_old})
-                rest = [e for e in range(int(starts[n]), int(starts[n + 1])) if e not in taken]
-                shares = np.exp(logs[rest].astype(np.float64))
-                u = float(uniform(draws(seeds[d : d + 1], 20_000 + j), np.array([place - doc_at[d]]))[0])
-                e = rest[min(int(np.searchsorted(np.cumsum(shares), u * shares.sum(), side="right")), len(rest) - 1)]
+            first = [np.zeros(0, np.int64)] * 3
+            for path in (paths[s] for s in np.unique(source[open_docs]).tolist()):
+                who = open_docs[[paths[s] is path for s in source[open_docs].tolist()]]
+                place = path["where"][who]
+                w = np.searchsorted(word_at, place, side="right") - 1
+                n = place - shift[w]
+                size_n = held[n].astype(np.int64)
+                heads = np.cumsum(size_n) - size_n
+                owner = np.repeat(np.arange(len(who)), size_n)
+                edges = np.arange(int(size_n.sum())) - heads[owner] + starts[n][owner]
+                mark = place[owner] * len(ids) + edges  # a branch of the path, as one number
+                free = (edges != path["edge_at"][place][owner]) & ~np.isin(mark, path["taken"])
+                share = np.where(free, np.exp(logs[edges].astype(np.float64)), 0.0)
+                share_all = np.add.reduceat(share, heads)
+                share /= share_all[owner]
+                run = np.cumsum(share) - np.arange(len(who))[owner]  # each node's shares end at about 1
+                u = uniform(draws(seeds[who], 20_000 + j), place - doc_at[who])
+                behind = np.where(free & (run > u[owner]), np.arange(len(edges)), len(edges))
+                ahead = np.where(free, np.arange(len(edges)), -1)
+                pick = np.minimum(np.minimum.reduceat(behind, heads), np.maximum.reduceat(ahead, heads))
+                e = edges[pick]
+                path["taken"] = np.append(path["taken"], mark[pick])
                 # What remains of the set keeps its place in the queue with a smaller value.
-                left = [x for x in rest if x != e]
-                taken.add(e)
-                i = int(path["index"](place))
-                before = float(path["before"][i])
-                mass = before + math.log(float(np.exp(logs[left].astype(np.float64)).sum())) if left else -np.inf
-                u = uniform(draws(seeds[d : d + 1], 30_000 + j), np.array([place - doc_at[d]]))
-                path["value"][i] = truncated_gumbel(np.array([mass]), bound[d : d + 1], u)[0]
-                path["refresh"](d)
-                lo = int(doc_at[d])
-                edge_new[lo:place] = path["edge_at"][lo:place]
+                share[pick] = 0.0
+                i = path["index"](place)
+                with np.errstate(divide="ignore"):
+                    mass = path["before"][i] + np.log(share_all) + np.log(np.add.reduceat(share, heads))
+                path["value"][i] = truncated_gumbel(mass, bound[who], uniform(draws(seeds[who], 30_000 + j), place - doc_at[who]))
+                path["refresh"]()
+                same = np.zeros(total + 1, np.int32)  # the new path runs along the old one up to its branch
+                np.add.at(same, doc_at[who], 1)
+                np.add.at(same, place, -1)
+                same = np.flatnonzero(np.cumsum(same[:-1]))
+                edge_new[same] = path["edge_at"][same]
                 edge_new[place] = e
-                begin[d] = place
-                at.append(int(ends[e]))
-                move.append(int(shift[w]))
-                who.append(d)
-                left_word[d] = w
+                begin[who], left_word[who] = place, w
+                first = [np.concatenate(x) for x in zip(first, (ends[e], shift[w], who), strict=True)]
             rest = np.flatnonzero(np.arange(len(node)) > left_word[doc_of_word])  # words after the one it leaves in
-            walk(np.concatenate([np.array(at, np.int64), node[rest]]), np.concatenate([np.array(move, np.int64), shift[rest]]), np.concatenate([np.array(who, np.int64), doc_of_word[rest]]), j, edge_new)
+            walk(*(np.concatenate(x) for x in zip(first, (node[rest], shift[rest], doc_of_word[rest]), strict=True)), j, edge_new)
             path = self._path(edge_new, bound, docs, doc_at, seeds, 1 + j, logs, begin)
             paths.append(path)
             values.append(bound)
-        yield from self._emit(paths, values, bound, n_docs, ids)
+        return self._emit(paths, values, bound, ids)
 
     def _path(self, edge_at: np.ndarray, top: np.ndarray, docs: np.ndarray, doc_at: np.ndarray, seeds: np.ndarray, draw: int, logs: np.ndarray, begin: np.ndarray | None, depth: float = DEPTH) -> dict[str, Any]:
         """The sets that leave a drawn path at each of its edges, after ``begin``, with their perturbed values.
@@ -438,19 +483,20 @@ class Sampler:
         if ((held < counts) & (high <= self.k) & ~np.isneginf(top)).any():
             return self._path(edge_at, top, docs, doc_at, seeds, draw, logs, begin, math.inf)
         best, where = np.full(len(docs), -np.inf), np.zeros(len(docs), np.int64)
+        some = np.flatnonzero(held)
 
-        def refresh(d: int) -> None:
-            a, b = int(bounds[d]), int(bounds[d + 1])
-            if a < b:
-                i = a + int(np.argmax(value[a:b]))
-                best[d], where[d] = value[i], at[i]
+        def refresh() -> None:
+            """The largest value of each document, and where it is."""
+            if len(some):
+                best[some] = np.maximum.reduceat(value, bounds[some])
+                hit = np.flatnonzero(value == best[doc])[::-1]
+                where[doc[hit]] = at[hit]  # of equal ones the first
 
-        for d in docs.tolist():
-            refresh(d)
+        refresh()
         index = lambda p: np.searchsorted(at, p)
-        return {"edge_at": edge_at, "value": value, "before": before, "best": best, "where": where, "taken": {}, "refresh": refresh, "index": index, "log_prob": log_prob, "place": place, "first": first}
+        return {"edge_at": edge_at, "value": value, "before": before, "best": best, "where": where, "taken": np.zeros(0, np.int64), "refresh": refresh, "index": index, "log_prob": log_prob, "place": place, "first": first}
 
-    def _emit(self, paths: list[dict[str, Any]], values: list[np.ndarray], bound: np.ndarray, n_docs: int, ids: np.ndarray) -> Iterator[tuple[list[np.ndarray], list[tuple[float, float, float]]]]:
+    def _emit(self, paths: list[dict[str, Any]], values: list[np.ndarray], bound: np.ndarray, ids: np.ndarray) -> Sampled:
         flat = []
         for path in paths:
             first, found = path["first"], ids[path["edge_at"][path["place"]]]
@@ -465,22 +511,23 @@ class Sampler:
                 step = np.arange(len(starts)) - np.repeat(np.cumsum(sizes[odd]) - sizes[odd], sizes[odd])
                 found[starts + step] = list(itertools.chain.from_iterable(runs))
                 first = grown[first]
-            flat.append((found.astype(np.int32), first))
-        for d in range(n_docs):
-            arrays, facts = [], []
-            for (found, first), path, value in zip(flat, paths, values, strict=True):
-                if np.isneginf(value[d]):
-                    continue
-                arrays.append(found[first[d] : first[d + 1]])
-                p, last = float(min(path["log_prob"][d], 0.0)), float(bound[d])
-                # P(a path's perturbed value exceeds the largest that was not drawn); sure if all were drawn.
-                if last == -math.inf:
-                    inclusion = 0.0
-                else:
-                    x = p - last
-                    inclusion = math.log(-math.expm1(-math.exp(x))) if x > -30 else x
-                facts.append((p, float(value[d]), inclusion))
-            yield arrays, facts
+            flat.append((found, first))
+        value = np.stack(values, axis=1)
+        drawn = ~np.isneginf(value)
+        text, sample = np.nonzero(drawn)
+        size = np.stack([np.diff(first) for _, first in flat], axis=1)[text, sample]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        out = np.empty(int(offsets[-1]), np.int32)
+        for s, (found, first) in enumerate(flat):
+            mine = np.flatnonzero(sample == s)
+            at = np.flatnonzero(np.repeat(drawn[:, s], np.diff(first)))
+            out[at + np.repeat(offsets[mine] - first[text[mine]], size[mine])] = found[at]
+        log_prob = np.minimum(np.stack([p["log_prob"] for p in paths], axis=1)[text, sample], 0.0)
+        # P(a path's perturbed value exceeds the largest that was not drawn); sure if all were drawn.
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            above = log_prob - bound[text]
+            inclusion = np.where(np.isneginf(bound[text]), 0.0, np.where(above > -30, np.log(-np.expm1(-np.exp(above))), above))
+        return Sampled(text, sample, offsets, out, log_prob, value[text, sample], inclusion)
 
 
 SCHEMA = T.StructType([
@@ -506,14 +553,8 @@ def sample_pieces(docs: DataFrame, model_path: str, k: int = SAMPLES, alpha: flo
         sampler = _sampler(model_path, k, alpha)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):  # results of a bounded number of characters at a time
-                stop, chars = at, 0
-                while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= GROUP_CHARS):
-                    chars += len(texts[stop])
-                    stop += 1
-                yield _result(sampler, batch.column(0).slice(at, stop - at), texts[at:stop], batch.column(2).slice(at, stop - at), arrow)
-                at = stop
+            for begin, found in sampler.groups(texts, batch.column(2).to_pylist()):
+                yield _result(sampler, batch.column(0), texts, begin, found, arrow)
 
     return rows.mapInArrow(run, SCHEMA)
 
@@ -524,21 +565,13 @@ def _sampler(path: str, k: int, alpha: float) -> Sampler:
     return Sampler(path, k, alpha)
 
 
-def _result(sampler: Sampler, keys: pa.Array, texts: list[str], seeds: pa.Array, arrow: pa.Schema) -> pa.RecordBatch:
-    row, sample, arrays, facts = [], [], [], []
-    for i, (found, about) in enumerate(sampler.sample(texts, seeds.to_pylist())):
-        row += [i] * len(found)
-        sample += range(len(found))
-        arrays += found
-        facts += about
-    sizes = np.array([len(a) for a in arrays], np.int64)
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    ids = pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32), pa.int32())
-    decoded = sampler.model.decode(ids, offsets)
-    same = [t == texts[i] for t, i in zip(decoded, row, strict=True)]
+def _result(sampler: Sampler, keys: pa.Array, texts: list[str], begin: int, found: Sampled, arrow: pa.Schema) -> pa.RecordBatch:
+    row = found.text + begin
+    ids = pa.array(found.ids, pa.int32())
+    same = [t == texts[i] for t, i in zip(sampler.model.decode(ids, found.offsets), row.tolist(), strict=True)]
     columns = [
-        pc.take(keys, pa.array(row, pa.int64())), pa.array(sample, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids), pa.array(sizes, pa.int32()),
-        *[pa.array([f[i] for f in facts], pa.float64()) for i in range(3)], pa.array(same, pa.bool_()),
+        pc.take(keys, pa.array(row)), pa.array(found.sample), pa.ListArray.from_arrays(pa.array(found.offsets, pa.int32()), ids), pa.array(np.diff(found.offsets)),
+        *[pa.array(x) for x in (found.log_prob, found.value, found.inclusion)], pa.array(same, pa.bool_()),
     ]
     return pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
