@@ -100,6 +100,32 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, (select min(root) from reach r
 
 
 ORACLES: dict[str, str] = {
+    # All token sets of labelled pages are counted, which finds the frequent ones; rules that pruning drops decide nothing.
+    "op1_url_filters": rf"""
+with u as (select row_number() over () as r, page_id, coalesce(url, '') as url from pages),
+v as (select *, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from u),
+h as (select r, page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) as path from v),
+p as (select *, list_sort(list_distinct(list_concat(
+    list_filter(list_transform(list_reverse(string_split(host, '.')), lambda x, i: 'h' || (i - 1) || ':' || x), lambda x: not ends_with(x, ':')),
+    list_transform(list_filter(regexp_split_to_array(translate(path, '{UPPER}', '{LOWER}'), '[/._\-]+'), lambda x: x <> '' and not regexp_full_match(x, '[0-9]+')), lambda x: 'p:' || x),
+    list_transform(list_filter(regexp_split_to_array(regexp_extract(url, '\?([^#]*)', 1), '[&;]'), lambda x: x <> ''), lambda x: 'q:' || split_part(x, '=', 1)),
+    case when contains(url, '#') then ['fragment'] else [] end))) as tokens from h),
+l as (select doc_id, bool_or(quality = 0 or toxic = 1) as bad from labels where (quality = 0 or toxic = 1) is not null group by 1),
+b as (select tokens, bad from p join l on page_id = doc_id),
+s as (select list_filter(tokens, lambda x, i: (mask >> (i - 1)) & 1 = 1) as tokens, bad from (select *, unnest(range(1, 1 << len(tokens))) as mask from b)),
+c as (select tokens, count(*) as n, count(*) filter (bad) as n_bad from s group by 1),
+k as (select tokens, 'block' as verdict, n_bad as both_n, n_bad / n as confidence, 0.6 as least, 1.5 * (select avg(bad::int) from b) as lift from c
+    union all select tokens, 'allow', n - n_bad, (n - n_bad) / n, 0.8, 1.1 * (1 - (select avg(bad::int) from b)) from c),
+rules as (select * from k where both_n >= 20 and confidence >= least and confidence >= lift),
+m as (select r, max((confidence, both_n, verdict = 'block')) as best from p join rules on list_has_all(p.tokens, rules.tokens) group by r),
+f as (select *, case
+    when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'
+    when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/') then 'example.com/en/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
+    when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
+    when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/' end as rule from p left join m using (r))
+select page_id, host, path, rule, case rule when 'www.example.com/en/' then 'allow' when 'com/' then 'allow' when 'example.com/en/' then 'block' when 'net/es/' then 'block' when 'net/fr/' then 'block'
+    else case when best[3] then 'block' else 'allow' end end as verdict, best[1] as confidence from f""",
     "op3_lm_scoring": f"""
 with d as (select row_number() over () as r, doc_id, {_words("text")} as w from documents),
 p as (select r, unnest(range(len(w))) as i, unnest(w) as x from d),

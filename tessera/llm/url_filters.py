@@ -16,15 +16,17 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, arrow_column, bound_batches
+from tessera.llm.common import ascii_lower, arrow_column, bound_batches, checkpointed
 
-#: Mining parameters. A transaction holds all tokens of its page; FP-growth itself drops the tokens below the minimum
-#: support, which are in no frequent set. The sets grow with the number of tokens that are frequent together.
-#: A set of fewer than MIN_PAGES pages is no evidence, whatever its share.
-MIN_SUPPORT = 0.01
+#: Mining parameters. A transaction holds all tokens of its page; a token, set or rule must hold for MIN_PAGES labelled
+#: pages, a number and not a share, so that rare hosts can have rules. Rules are fitted on all labelled pages up to about
+#: MAX_LABELLED, beyond that on so many chosen by a hash of their ids; every page is judged.
 MIN_PAGES = 20
-MIN_CONFIDENCE = 0.8
-MIN_LIFT = 1.5
+MAX_LABELLED = 2_000_000
+#: By class, since most pages are good: least share of the class among the pages of a rule, and least ratio to its share
+#: among all labelled pages.
+MIN_CONFIDENCE = {"block": 0.6, "allow": 0.8}
+MIN_LIFT = {"block": 1.5, "allow": 1.1}
 
 BLOCK, ALLOW = "!block", "!allow"
 
@@ -113,21 +115,33 @@ def prune(rules: list[tuple[list[str], str, float, float]]) -> list[tuple[list[s
     return kept
 
 
-def mine_rules(tagged: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> list[tuple[list[str], str, float, float]]:
-    """Rules from all pages that have labels (labels.doc_id is the page): low quality or toxic pages are to be blocked.
+def labelled(tagged: DataFrame, labels: DataFrame) -> DataFrame:
+    """tokens and bad (low quality or toxic) of the pages that have labels, joined by number: labels.doc_id is the page.
 
     A page with several labels counts as bad if any label says so; null labels say nothing.
     """
     said = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     said = said.filter(F.col("page_id").isNotNull() & F.col("bad").isNotNull()).groupBy("page_id").agg(F.bool_or("bad").alias("bad"))
+    return tagged.join(said, "page_id").select("page_id", "tokens", "bad")
+
+
+def mine_rules(tagged: DataFrame, labels: DataFrame, min_pages: int = MIN_PAGES, max_labelled: int = MAX_LABELLED) -> list[tuple[list[str], str, float, float]]:
+    """(tokens, verdict, confidence, support) of the pruned rules."""
+    pages = labelled(tagged, labels)
+    n, bad = pages.agg(F.count(F.lit(1)), F.count_if("bad")).first()
+    if n > max_labelled:
+        pages = pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
+        n, bad = pages.agg(F.count(F.lit(1)), F.count_if("bad")).first()
     item = F.array(F.when(F.col("bad"), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))
-    baskets = tagged.join(said, "page_id").select(F.concat("tokens", item).alias("items"))
-    n = baskets.count()
-    if n < MIN_PAGES:
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_PAGES / n), minConfidence=min_confidence).fit(baskets)
-    sure = model.associationRules.filter(F.col("consequent")[0].isin(BLOCK, ALLOW) & ~F.arrays_overlap("antecedent", F.array(F.lit(BLOCK), F.lit(ALLOW))) & (F.col("lift") >= min_lift))
-    rules = [(sorted(r["antecedent"]), "block" if r["consequent"][0] == BLOCK else "allow", r["confidence"], r["support"]) for r in sure.collect()]
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, min_pages / max(n, 1))).fit(pages.select(F.concat("tokens", item).alias("items")))
+    sets = checkpointed(model.freqItemsets.filter(F.col("freq") >= min_pages))
+    rules: list[tuple[list[str], str, float, float]] = []
+    for mark, verdict, share in ((BLOCK, "block", bad / max(n, 1)), (ALLOW, "allow", 1 - bad / max(n, 1))):
+        # A rule's tokens are a frequent set too, as they hold for all of its pages.
+        of_class = sets.filter(F.array_contains("items", mark) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", mark)).alias("tokens"), F.col("freq").alias("both"))
+        met = of_class.join(sets.select(F.array_sort("items").alias("tokens"), "freq"), "tokens").withColumn("confidence", F.col("both") / F.col("freq"))
+        sure = met.filter((F.col("confidence") >= MIN_CONFIDENCE[verdict]) & (F.col("confidence") >= MIN_LIFT[verdict] * share))
+        rules += [(r["tokens"], verdict, r["confidence"], r["both"] / n) for r in sure.collect()]
     return prune(rules)
 
 
