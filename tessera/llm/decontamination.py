@@ -1,11 +1,12 @@
 """Benchmark decontamination in DataFrame operations: test items inside documents, by MinHash containment.
 
-An item's set is its distinct word shingles. Items are partitioned by the size of their sets. If a share t of an item's q
-shingles must lie in a document, then at least one of any q - ceil(t * q) + 1 of them does; an item's MinHash signature
-is that many of its smallest shingle hashes, so its length follows from its size and no contained item is missed. The
-signatures are the index. A document's side of the sketch is every shingle hash up to the largest value in any signature;
-documents are not cut, so long ones are searched whole. Pairs that share a signature value are verified by exact
-containment of the shingles themselves.
+An item's set is its distinct word shingles. Items are partitioned by the size of their sets into bands. If a share t of
+an item's q shingles must lie in a document, then at least one of any q - ceil(t * q) + 1 of them does; an item's MinHash
+signature is that many of its smallest shingle hashes, so its length follows from its size and no contained item is
+missed. A band's index has a cut, the largest hash in its signatures, and a least size of the documents that can hold one
+of its items. A document's side of the sketch is its shingle hashes up to the largest cut among the bands that it is large
+enough for; documents are not cut, so long ones are searched whole. Pairs that share a signature value are verified by
+exact containment of the shingles themselves.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, checkpointed, small
+from tessera.llm.common import ascii_lower, checkpointed, quoted, small
 
 SHINGLE = 5
 CONTAINMENT = 0.8
+#: Below every shingle hash that is looked up.
+NOTHING = -(2**63)
 
 
 def words_of(text: Column) -> Column:
@@ -53,12 +56,11 @@ def _first_hashed(width: int) -> Callable[[Column], Column]:
     return lambda codes: F.xxhash64(*[F.get(codes, F.lit(k)) for k in range(width)])
 
 
-def _up_to(top: int) -> Callable[[Column], Column]:
-    return lambda h: h <= top
-
-
 def signatures(sets: DataFrame, threshold: float) -> DataFrame:
-    """(width, band, hash, item_id, shingles): the signature values; band is the power of two of the set's size."""
+    """(item_id, width, band, least, hash): the signature values.
+
+    band is the power of two of the set's size, least the number of shingles that a document must hold of the set.
+    """
     codes = F.transform("shingles", lambda s: F.transform(F.split(s, " "), lambda w: F.xxhash64(w)))
     rows = sets.withColumn("codes", codes)
     kinds = None
@@ -67,22 +69,33 @@ def signatures(sets: DataFrame, threshold: float) -> DataFrame:
         kinds = F.when(F.col("width") == width, hashed) if kinds is None else kinds.when(F.col("width") == width, hashed)
     rows = rows.withColumn("hashes", F.array_sort(F.array_distinct(kinds)))
     size = F.size("hashes")
-    length = size - F.ceil(size * threshold - 1e-9).cast("int") + 1
-    return rows.select("item_id", "width", F.floor(F.log2(size)).cast("int").alias("band"), F.explode(F.slice("hashes", F.lit(1), length)).alias("hash"))
+    least = F.ceil(size * threshold - 1e-9).cast("int")
+    return rows.select("item_id", "width", F.floor(F.log2(size)).cast("int").alias("band"), least.alias("least"), F.explode(F.slice("hashes", F.lit(1), size - least + 1)).alias("hash"))
+
+
+def _cut(n: Column, bands: list[tuple[int, int]]) -> Column:
+    """The largest hash to look up for a document of n shingles: that of the bands (least size, cut) it is large enough for."""
+    return F.greatest(*[F.when(n >= least, F.lit(top)) for least, top in bands], F.lit(NOTHING))
 
 
 def candidates(rows: DataFrame, index: DataFrame) -> DataFrame:
     """Distinct (doc_id, item_id) that share a signature value. ``rows`` has doc_id and text."""
-    limits = {r["width"]: r["top"] for r in index.groupBy("width").agg(F.max("hash").alias("top")).collect()}  # at most SHINGLE rows
+    # A row for each width and power of two among the items' sizes.
+    found = index.groupBy("width", "band").agg(F.min("least").alias("least"), F.max("hash").alias("top")).collect()
+    bands: dict[int, list[tuple[int, int]]] = {}
+    for r in sorted(found):
+        bands.setdefault(r["width"], []).append((r["least"], r["top"]))
     coded = rows.select("doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("codes"))
     probes = None
-    for width, top in sorted(limits.items()):
-        sketch = F.filter(hashed_shingles("codes", width), _up_to(top))
-        part = coded.select("doc_id", F.lit(width).alias("width"), F.explode(sketch).alias("hash"))
+    for width, held in bands.items():
+        n = F.size("codes") - (width - 1)
+        hashed = coded.select("doc_id", n.alias("n"), _cut(n, held).alias("cut"), hashed_shingles("codes", width).alias("hashes"))
+        part = hashed.select("doc_id", "n", F.lit(width).alias("width"), F.explode(F.filter("hashes", lambda h: h <= F.col("cut"))).alias("hash"))
         probes = part if probes is None else probes.unionAll(part)
     if probes is None:
         return rows.select("doc_id", F.lit(None).cast("long").alias("item_id")).limit(0)
-    return probes.join(small(index.select("width", "hash", "item_id").distinct()), ["width", "hash"]).select("doc_id", "item_id").distinct()
+    listed = small(index.select("width", "hash", "item_id", "least").distinct())
+    return probes.join(listed, ["width", "hash"]).filter(F.col("n") >= F.col("least")).select("doc_id", "item_id").distinct()
 
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -115,5 +128,5 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = CONTAI
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold an item; all columns stay."""
-    found = checkpointed(contained_items(docs, items, threshold, id_col, text_col).select(F.col("doc_id").alias("__held")).distinct())
-    return docs.join(small(found), docs[id_col].eqNullSafe(F.col("__held")), "left_anti")
+    found = small(checkpointed(contained_items(docs, items, threshold, id_col, text_col).select(F.col("doc_id").alias("held")).distinct()))
+    return docs.join(found, docs[quoted(id_col)].eqNullSafe(found["held"]), "left_anti")
