@@ -2,7 +2,7 @@
 
 Each rule votes good (0), bad (1) or abstains (2). A document's votes are one number, its pattern, so all the corpus
 has to give is the count of each pattern: at most 3 ** len(RULES) numbers, from one small aggregation over every row.
-EM estimates, for either class of documents, how often each rule votes bad, and the share of bad documents.
+EM estimates, for either class of documents, how often each rule votes bad, and the share of bad documents, under priors.
 """
 
 from __future__ import annotations
@@ -86,9 +86,13 @@ def _share(part: str, whole: str) -> Column:
     return F.col(part) / F.greatest(F.col(whole), F.lit(1))
 
 
-#: Bound on how often a rule votes bad on good documents. The thresholds are lenient, so a bad vote is rarely false.
-FALSE_ALARMS = 0.002
-LOOSE_FALSE_ALARMS = {"function_words": 0.2, "repeated_lines": 0.05}
+#: What is known before of the rules: how often one votes bad on good documents (the thresholds are lenient, so seldom)
+#: and on bad ones, and the share of bad documents. A prior weighs as so many times the documents of the corpus. The one
+#: on false alarms outweighs the data: with a light one, EM takes a frequent kind of bad documents for the good class.
+FALSE_ALARMS = 0.001
+LOOSE_FALSE_ALARMS = {"function_words": 0.1, "repeated_lines": 0.025}
+HITS, BAD_SHARE = 0.2, 0.1
+WEIGHTS, SHARE_WEIGHT = (10.0, 0.01), 1.0
 
 #: Name -> vote, as Columns over the features.
 RULES: dict[str, Callable[[], Column]] = {
@@ -122,29 +126,25 @@ def votes_of(codes: np.ndarray) -> np.ndarray:
     return np.stack([(codes // 3**i) % 3 for i in reversed(range(len(RULES)))], axis=1)
 
 
-def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 50, weight: float = 0.05) -> tuple[np.ndarray, np.ndarray, float]:
+def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, weights: tuple[float, float] = WEIGHTS) -> tuple[np.ndarray, np.ndarray, float]:
     """P(good) of each vote pattern, P(bad vote | class) as (rules, 2), and the share of bad documents.
 
-    Abstentions carry no evidence. Pseudo-counts in proportion to the data keep the classes what they are named:
-    a good document seldom gets a bad vote. The result depends on the pattern shares, not on the corpus size.
+    Abstentions carry no evidence. Rates and share maximise the posterior under Beta priors, of ``weights`` for good and
+    bad documents; nothing else binds them. The result depends on the pattern shares, not on the corpus size.
     """
-    most = np.array([LOOSE_FALSE_ALARMS.get(r, FALSE_ALARMS) for r in RULES])
-    start = np.stack([most / 2, np.full(len(most), 0.2)], axis=1)
-    rates = start.copy()
-    share_bad, total = 0.1, counts.sum()
+    prior = np.stack([np.array([LOOSE_FALSE_ALARMS.get(r, FALSE_ALARMS) for r in RULES]), np.full(len(RULES), HITS)], axis=1)
+    rates, share_bad, total = prior.copy(), BAD_SHARE, counts.sum()
     bad, cast = (votes == BAD).astype(float), (votes != ABSTAIN).astype(float)
     good_prob = np.ones(len(votes))
     for _ in range(rounds if total else 0):
         logs = [np.log(1 - share_bad), np.log(share_bad)]
         for c in (0, 1):
             logs[c] = logs[c] + bad @ np.log(rates[:, c]) + (cast - bad) @ np.log(1 - rates[:, c])
-        good_prob = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -500, 500)))
+        good_prob = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -500, 500)))  # exp overflows beyond
         for c, p in ((0, good_prob), (1, 1 - good_prob)):
-            mass = weight * total * (0.9 if c == 0 else 0.1)
-            rates[:, c] = ((p * counts) @ bad + mass * start[:, c]) / ((p * counts) @ cast + mass)
-        rates[:, 0] = np.clip(rates[:, 0], 1e-4, most)
-        rates[:, 1] = np.clip(rates[:, 1], 0.05, 0.99)
-        share_bad = float(np.clip(((1 - good_prob) @ counts + weight * total * 0.1) / (total * (1 + weight)), 0.01, 0.5))
+            mass = weights[c] * total
+            rates[:, c] = ((p * counts) @ bad + mass * prior[:, c]) / ((p * counts) @ cast + mass)
+        share_bad = float(((1 - good_prob) @ counts + SHARE_WEIGHT * total * BAD_SHARE) / (total * (1 + SHARE_WEIGHT)))
     return good_prob, rates, share_bad
 
 
@@ -175,7 +175,8 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: features, base_failed, posterior (of being good) and kept.
 
     ``kept`` is false if a base rule fails, else whether the posterior reaches the threshold. Null texts count as
-    empty and fail; repeated rows and ids keep a row each; an empty table gives an empty result.
+    empty and fail; repeated rows, and repeated or null ids, keep a row each; a posterior that equals the threshold keeps
+    its documents; an empty table gives an empty result.
     """
     bound_batches(docs.sparkSession)
     rows = with_features(keyed_text(docs, id_col, text_col)).select("doc_id", "__features.*")
