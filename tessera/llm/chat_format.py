@@ -1,9 +1,10 @@
 """Chat formatting by quotation linking, in DataFrame operations only.
 
-A message's lines are parsed into quote levels (leading ``>`` signs). Quoted lines are normalised and hashed and joined,
-within their conversation, to the earlier messages that wrote these lines themselves. A message replies to the message
-that wrote most of what it quotes at its lowest quote level (of several, the latest). Messages are ordered by thread, each reply after what
-it quotes, and written without their quotes and the attribution lines before them.
+A message's lines are parsed into quote levels (leading ``>`` signs). A passage is a run of lines of one level; its
+normalised lines are hashed one by one and in runs of a power of two that cover it, and joined, within their conversation,
+to the latest earlier message that wrote the same run itself. Every level is linked to the message that wrote most of it
+(of several, the latest); a message replies to the one that its lowest linked level names. Messages are ordered by thread,
+each reply after what it quotes, and written without their quotes and the attribution lines before them.
 
 A conversation is written in parts of PART_MESSAGES messages, so that one that holds a large share of all messages is
 neither gathered in one task nor in one row.
@@ -11,13 +12,16 @@ neither gathered in one task nor in one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed
 from tessera.operators.dataset import Dataset
 
 PART_MESSAGES = 256
+#: Lines of the longest runs that are hashed as one, and turns that are looked through together.
+LONGEST_RUN = 64
+CHUNK_TURNS = 1024
 _QUOTE = r"^((?:[ \t]*>)+)"
 
 
@@ -50,19 +54,75 @@ def messages(conversations: DataFrame, conv_col: str, turn_col: str, role_col: s
     return rows.distinct().withColumn("lines", parsed_lines(F.col("raw"))).select("conv_id", "turn", "role", "raw", "lines", own_text(F.col("lines")).alias("text"))
 
 
+def _run_size(m: Column) -> Column:
+    """The largest power of two up to LONGEST_RUN that is at most ``m``."""
+    out, size = F.when(m >= LONGEST_RUN, F.lit(LONGEST_RUN)), LONGEST_RUN // 2
+    while size > 1:
+        out, size = out.when(m >= size, F.lit(size)), size // 2
+    return out.otherwise(F.lit(1))
+
+
+def _run_hashes(size: Column, starts: Column) -> Column:
+    """Hashes of the runs of ``size`` lines in the column ``wording``."""
+    return F.transform(starts, lambda i: F.xxhash64(size, F.array_join(F.slice("wording", i + 1, size), "\n")))
+
+
+def quoted_runs(found: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, size, h): the runs of lines that messages quote, at each level."""
+    rows = found.filter(F.col("raw").contains(">") & F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    last = F.size("lines") - 1
+    changes = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get("lines", i)["level"] != F.get("lines", i - 1)["level"]))
+    rows = rows.select("conv_id", "turn", "lines", changes.alias("begins"))
+    passages = rows.select("conv_id", "turn", F.explode(F.transform("begins", lambda b, k: F.struct(
+        F.get("lines", b)["level"].alias("level"),
+        F.slice("lines", b + 1, F.coalesce(F.get("begins", k + 1), F.size("lines")) - b).alias("lines"),
+    ))).alias("x")).filter("x.level > 0")
+    worded = passages.select("conv_id", "turn", "x.level", F.filter(F.transform("x.lines", lambda x: normalised(x["body"])), lambda x: x != "").alias("wording"))
+    worded = worded.filter(F.size("wording") > 0)
+    sized = worded.withColumn("size", F.explode(F.array_distinct(F.array(F.lit(1), _run_size(F.size("wording"))))))
+    end = F.size("wording") - F.col("size")
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), end, F.col("size")), F.array(end)))
+    return sized.select("conv_id", "turn", "level", "size", F.explode(_run_hashes(F.col("size"), starts)).alias("h")).distinct()
+
+
+def written_runs(found: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(conv_id, turn, h): the runs of lines that messages wrote, of the sizes that their conversation quotes."""
+    sizes = quotes.groupBy("conv_id").agg(F.collect_set("size").alias("sizes"))  # at most one for each power of two
+    rows = found.filter(F.col("turn").isNotNull()).join(sizes, "conv_id")
+    worded = rows.select("conv_id", "turn", "sizes", F.filter(F.transform(F.split("text", "\n"), normalised), lambda x: x != "").alias("wording"))
+    sized = worded.select("conv_id", "turn", "wording", F.explode("sizes").alias("size")).filter(F.size("wording") >= F.col("size"))
+    starts = F.sequence(F.lit(0), F.size("wording") - F.col("size"))
+    return sized.select("conv_id", "turn", F.explode(_run_hashes(F.col("size"), starts)).alias("h")).distinct()
+
+
+def latest_writers(quotes: DataFrame, written: DataFrame) -> DataFrame:
+    """``quotes`` with ``parent``, the latest earlier turn that wrote the run; runs that nobody wrote before are left out.
+
+    Turns are looked through in chunks, and then the chunks, so that a run that a whole conversation repeats is neither
+    one group of a window nor a pair for each quote and writer.
+    """
+    chunk = F.floor(F.col("turn") / CHUNK_TURNS).alias("chunk")
+    marks = quotes.select("conv_id", "h", "turn", chunk, F.lit(None).cast("long").alias("wrote")).distinct().unionAll(written.select("conv_id", "h", "turn", chunk, F.col("turn").alias("wrote")))
+    before = Window.partitionBy("conv_id", "h", "chunk").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    near = marks.withColumn("near", F.max("wrote").over(before)).filter("wrote is null")
+    earlier = Window.partitionBy("conv_id", "h").orderBy("chunk").rangeBetween(Window.unboundedPreceding, -1)
+    chunks = marks.groupBy("conv_id", "h", "chunk").agg(F.max("wrote").alias("last")).withColumn("far", F.max("last").over(earlier))
+    found = near.join(chunks, ["conv_id", "h", "chunk"]).select("conv_id", "h", "turn", F.coalesce("near", "far").alias("parent")).filter("parent is not null")
+    return quotes.join(found, ["conv_id", "h", "turn"])
+
+
+def quote_links(found: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, parent, n): for each quote level of a message the earlier message that wrote most of it."""
+    quotes = checkpointed(quoted_runs(found))
+    met = latest_writers(quotes, written_runs(found, quotes))
+    votes = met.groupBy("conv_id", "turn", "level", "parent").agg(F.sum("size").alias("n"))
+    best = votes.groupBy("conv_id", "turn", "level").agg(F.max(F.struct("n", "parent")).alias("best"))
+    return best.select("conv_id", "turn", "level", "best.parent", "best.n")
+
+
 def reply_links(found: DataFrame) -> DataFrame:
-    """(conv_id, turn, parent): the earlier message of the conversation that a message mostly quotes."""
-    lowest = F.array_min(F.transform(F.filter("lines", lambda x: x["level"] > 0), lambda x: x["level"]))
-    quoting = found.filter(F.col("raw").contains(">")).select("conv_id", "turn", "lines", lowest.alias("low")).filter(F.col("low").isNotNull())
-    quotes = quoting.select("conv_id", "turn", F.explode(F.filter("lines", lambda x: x["level"] == F.col("low"))).alias("x"))
-    quotes = quotes.select("conv_id", "turn", normalised(F.col("x.body")).alias("line")).filter(F.col("line") != "").select("conv_id", "turn", F.xxhash64("line").alias("h")).distinct()
-    # Only conversations that quote take part. An original is the latest message before the quote that wrote the line.
-    written = found.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi")
-    written = written.select("conv_id", F.col("turn").alias("parent"), F.explode(F.split("text", "\n")).alias("line"))
-    written = written.select("conv_id", "parent", normalised(F.col("line")).alias("line")).filter(F.col("line") != "").select("conv_id", "parent", F.xxhash64("line").alias("h")).distinct()
-    met = quotes.join(written, ["conv_id", "h"]).filter(F.col("parent") < F.col("turn"))
-    votes = met.groupBy("conv_id", "turn", "parent").agg(F.count(F.lit(1)).alias("n"))
-    return votes.groupBy("conv_id", "turn").agg(F.max(F.struct("n", "parent"))["parent"].alias("parent"))
+    """(conv_id, turn, parent): the message that a message replies to."""
+    return quote_links(found).groupBy("conv_id", "turn").agg(F.min(F.struct("level", "parent"))["parent"].alias("parent"))
 
 
 def thread_roots(links: DataFrame) -> DataFrame:
@@ -86,7 +146,8 @@ def linked_messages(conversations: DataFrame, conv_col: str = "conv_id", turn_co
 
     Repeated rows count once; messages that share a turn are ordered by role and text. A null text is empty, a null role
     ``unknown``. Messages of a null conversation or with a null turn link to nothing. A quote whose original is not in
-    the conversation links to nothing, and is left out of the text all the same.
+    the conversation links to nothing, and is left out of the text all the same; where no original of the lowest level
+    is found, a deeper one gives the parent. Very long texts are handled as any other.
     """
     found = messages(conversations, conv_col, turn_col, role_col, text_col)
     roots = thread_roots(reply_links(found))

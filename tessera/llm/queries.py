@@ -173,11 +173,18 @@ y as (select r, i, length(translate(regexp_extract(line, '^((?:[ \t]*>)+)', 1),
 z as (select *, coalesce(lead(level) over (partition by r order by i), 0) as following from y),
 t as (select r, regexp_replace(coalesce(string_agg(body, chr(10) order by i) filter (level = 0 and not (following > 0 and regexp_matches(body, '(?i)\b(wrote|writes|said)\s*:\s*$'))), ''), '^\s+|\s+$', '', 'g') as text from z group by r),
 f as (select m.*, t.text from m join t using (r)),
-low as (select r, min(level) as level from y where level > 0 group by r),
-q as (select distinct conv_id, turn, trim(regexp_replace(regexp_replace(lower(body), '[*_`]', '', 'g'), '\s+', ' ', 'g')) as line from y join low using (r, level) join m using (r)),
-w as (select distinct conv_id, turn as parent, trim(regexp_replace(regexp_replace(lower(line), '[*_`]', '', 'g'), '\s+', ' ', 'g')) as line from (select conv_id, turn, unnest(string_split(text, chr(10))) as line from f)),
-v as (select q.conv_id, q.turn, w.parent, count(*) as n from q join w using (conv_id, line) where line <> '' and w.parent < q.turn group by all),
-k as (select conv_id, turn, max((n, parent))[2] as parent from v group by all),
+g as (select *, sum(case when level is distinct from prev then 1 else 0 end) over (partition by r order by i) as run from (select *, lag(level) over (partition by r order by i) as prev from y)),
+n as (select r, run, level, i, trim(regexp_replace(regexp_replace(lower(body), '[*_`]', '', 'g'), '\s+', ' ', 'g')) as line from g where level > 0),
+a as (select r, run, level, list(line order by i) as ls from n where line <> '' group by all),
+b as (select *, unnest(list_distinct([1, case when len(ls) >= 64 then 64 when len(ls) >= 32 then 32 when len(ls) >= 16 then 16 when len(ls) >= 8 then 8 when len(ls) >= 4 then 4 when len(ls) >= 2 then 2 else 1 end])) as s from a),
+c as (select *, unnest(list_distinct(list_concat(range(0, len(ls) - s + 1, s), [len(ls) - s]))) as skip from b),
+q as (select distinct conv_id, turn, level, s, array_to_string(ls[skip + 1:skip + s], chr(10)) as unit from c join m using (r)),
+e as (select conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda z: trim(regexp_replace(regexp_replace(lower(z), '[*_`]', '', 'g'), '\s+', ' ', 'g'))), lambda z: z <> '') as ls from f),
+d as (select *, unnest(range(len(ls) - s + 1)) as skip from (select *, unnest([1, 2, 4, 8, 16, 32, 64]) as s from e) where len(ls) >= s),
+w as (select distinct conv_id, turn as parent, s, array_to_string(ls[skip + 1:skip + s], chr(10)) as unit from d),
+v as (select q.conv_id, q.turn, level, s, unit, max(w.parent) as parent from q join w using (conv_id, s, unit) where w.parent < q.turn group by all),
+votes as (select conv_id, turn, level, parent, sum(s) as n from v group by all),
+k as (select conv_id, turn, max((-level, n, parent))[3] as parent from votes group by all),
 up as (select conv_id, turn, parent, parent as root from k union select up.conv_id, up.turn, up.parent, k.parent from up join k on k.conv_id = up.conv_id and k.turn = up.root),
 roots as (select conv_id, turn, parent, min(root) as root from up group by all),
 o as (select f.conv_id, f.turn, role, text, parent, coalesce(root, f.turn) as root from f left join roots using (conv_id, turn) where trim(text) <> ''),

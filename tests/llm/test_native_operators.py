@@ -192,6 +192,21 @@ def test_chat_threads_follow_quotes(spark):
     assert chat_format.format_conversations(frame.limit(0)).collect() == []
 
 
+def test_every_quote_level_links_to_the_latest_writer(spark):
+    rows = [
+        (1, 0, "a", "first line here\nsecond line here\nthird line", 0), (1, 1, "b", "yes", 0), (1, 2, "a", "> yes\nok", 0), (1, 3, "b", "yes", 0), (1, 4, "c", "> yes\nthen", 0),
+        (1, 5, "c", ">> second line here\n>> third line\n> nothing known\nwell", 0), (1, 6, "d", ">> first line here\n> then\nfine", 0), (1, 5000, "d", "> yes\nlate", 0),
+        (None, 0, "a", "yes", 0), (None, 1, "a", "> yes", 0),
+    ]
+    rows += [(2, i, "u", "> yes\nyes", 0) for i in range(3000)] + [(3, 0, "u", "\n".join(f"line {i} of it" for i in range(300)), 0), (3, 1, "u", "line 7 of it\nline 200 of it", 0), (3, 2, "u", "\n".join(f"> line {i} of it" for i in range(100, 290)), 0)]
+    found = chat_format.messages(spark.createDataFrame(rows, CONV), "conv_id", "turn", "role", "text")
+    links = {(r["conv_id"], r["turn"], r["level"]): (r["parent"], r["n"]) for r in chat_format.quote_links(found).collect()}
+    # A run of several lines counts beside its single lines, so a passage in one piece outweighs scattered lines.
+    assert {k: v for k, v in links.items() if k[0] == 1} == {(1, 2, 1): (1, 1), (1, 4, 1): (3, 1), (1, 5, 2): (0, 4), (1, 6, 1): (4, 1), (1, 6, 2): (0, 1), (1, 5000, 1): (3, 1)}
+    assert all(links[2, i, 1] == (i - 1, 1) for i in range(1, 3000)) and (2, 0, 1) not in links
+    assert links[3, 2, 1][0] == 0 and not any(k[0] is None for k in links)
+
+
 def test_long_conversations_are_written_in_parts(spark):
     rows = [(1, i, "user", f"message number {i}" + (f"\n> message number {i - 1}" if i % 2 else ""), 0) for i in range(30)] + [(2, i, "user", f"m{i}", 0) for i in range(4)]
     out = chat_format.format_conversations(spark.createDataFrame(rows, CONV), part_messages=8).collect()
