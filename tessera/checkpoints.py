@@ -6,7 +6,14 @@ DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the cluster names in ``spark.checkpoint.dir``; sets a local one only where it names none."""
+    """Uses the folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it names none, a folder of this machine serves a master that runs in one process; on a cluster that is an error,
+    since each node would write to a folder of its own.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or DEFAULT_CHECKPOINT_DIR)

@@ -31,20 +31,22 @@ class AggFunction(ABC, Generic[IN, STATE, OUT]):
 
 
 class FoldFunction(AggFunction):
-    """An associative two-argument function as an aggregate."""
-
-    _NOTHING = "__nothing__"
+    """An associative two-argument function as an aggregate. A state is a tuple: empty, or of the value so far."""
 
     def __init__(self, fn: Any) -> None:
         self.fn = fn
 
-    def zero(self) -> Any:
-        return self._NOTHING
+    def zero(self) -> tuple:
+        return ()
+
+    def add(self, state: tuple, row: Any) -> tuple:
+        return (self.fn(state[0], row),) if state else (row,)
 
-    def add(self, state: Any, row: Any) -> Any:
-        return row if isinstance(state, str) and state == self._NOTHING else self.fn(state, row)
+    def merge(self, left: tuple, right: tuple) -> tuple:
+        return self.add(left, right[0]) if right else left
 
-    merge = add
+    def value(self, state: tuple) -> Any:
+        return state[0] if state else None
 
 
 def partial_states(agg: AggFunction, key_columns: list[str], value_of: Any, batches: Iterator[pa.RecordBatch], schema: pa.Schema, flush_at: int = 50_000) -> Iterator[pa.RecordBatch]:

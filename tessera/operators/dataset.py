@@ -178,6 +178,10 @@ class Dataset:
         starts = dict(zip((p for p, _ in counts), itertools.accumulate((n for _, n in counts), initial=0), strict=False))
         if not starts:
             return Dataset(base.withColumn(name, F.lit(0).cast("long")))
+        if len(starts) > STARTS_IN_PLAN:
+            first = base.sparkSession.createDataFrame([(p, n) for p, n in starts.items() if n >= 0], "__part long, __start long")
+            met = numbered.join(F.broadcast(first), part == F.col("__part"))  # a row for each partition
+            return Dataset(met.withColumn(name, F.col("__start") + offset).drop("__at", "__part", "__start"))
         # One row per partition; the array is indexed by partition id.
         table = F.array(*[F.lit(starts.get(i, 0)).cast("long") for i in range(max(starts) + 1)])
         return Dataset(numbered.withColumn(name, F.get(table, part.cast("int")) + offset).drop("__at"))
@@ -290,3 +294,5 @@ class Dataset:
 
 
 _END = object()
+#: Partitions whose first numbers are written into the plan; those of more are joined.
+STARTS_IN_PLAN = 10_000

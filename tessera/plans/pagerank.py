@@ -12,17 +12,20 @@ def pagerank(edges: DataFrame, iterations: int, damping: float = 0.85, checkpoin
     """(node, rank) after ``iterations`` rounds of ``1 - d + d * sum of contributions``.
 
     ``edges`` has the columns src and dst; repeated edges count once. Ranks start at 1; a node without outgoing edges
-    gives nothing, a node without incoming edges has no rank after the first round. The adjacency is hashed by node once
-    and cached, so each round shuffles contributions alone, summed before the exchange.
+    gives nothing, a node without incoming edges has no rank after the first round. Edges stay rows, hashed by source once
+    and cached with the source's degree beside, so that no node's targets are gathered in one row; each round shuffles
+    contributions alone, summed before the exchange. The last ranks are checkpointed, which ends the use of the cache.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    pairs = edges.select("src", "dst").distinct()
-    links = pairs.groupBy("src").agg(F.collect_list("dst").alias("dsts")).select(F.col("src").alias("node"), "dsts").cache()
-    ranks = links.select("node", F.lit(1.0).alias("rank"))
+    pairs = edges.select(F.col("src").alias("node"), "dst").distinct()
+    degrees = pairs.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    links = pairs.join(degrees, "node").repartition("node").cache()
+    ranks = degrees.select("node", F.lit(1.0).alias("rank"))
     for i in range(1, iterations + 1):
-        sent = links.join(ranks, "node").select(F.explode("dsts").alias("node"), (F.col("rank") / F.size("dsts")).alias("part"))
+        sent = links.join(ranks, "node").select(F.col("dst").alias("node"), (F.col("rank") / F.col("degree")).alias("part"))
         ranks = sent.groupBy("node").agg((F.lit(1 - damping) + F.lit(damping) * F.sum("part")).alias("rank"))
-        if i % checkpoint_every == 0 and i < iterations:
+        if i % checkpoint_every == 0 or i == iterations:
             ranks = ranks.checkpoint()
+    links.unpersist()
     return ranks

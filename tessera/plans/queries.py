@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.checkpoints import ensure_checkpoint_dir
 from tessera.functions import AggFunction, is_blank, java_words
-from tessera.operators.dataset import Dataset
+from tessera.functions.exprs import shift_char
+from tessera.operators.dataset import CACHE_MODES, Dataset
 from tessera.operators.keyed import KeyedDataset
 from tessera.plans.pagerank import pagerank
 from tessera.session import Context
@@ -151,10 +154,10 @@ def map_partition_count(spark, d):
     return parts.df.agg(F.sum("n").alias("n"), F.sum(F.col("qty").cast("decimal(18,2)")).cast("double").alias("qty"))
 
 
-@query("select count(*) as n, true as numbered from nation")
+@query("select n_regionkey as p, n_name as name from nation")
 def map_partition_with_id(spark, d):
-    tagged = table(spark, d, "nation").map(lambda r: r.n_name).map_partition_with_id_python(lambda i, rows: ((i, name) for name in rows), "p int, name string")
-    return tagged.df.agg(F.count("*").alias("n"), (F.min("p") >= 0).alias("numbered"))
+    dealt = pairs(spark, d, "nation", "n_regionkey", "n_name").repartition_by_key(5, lambda k: k).values()
+    return dealt.map_partition_with_id_python(lambda i, rows: ((i, name) for name in rows), "p int, name string").df.select(F.col("p").cast("long").alias("p"), "name")
 
 
 @query("select n_name as name, length(n_name) as size from nation where n_regionkey <> 1")
@@ -165,10 +168,10 @@ def python_functions(spark, d):
     return kept.map_python(lambda name: (name, len(name)), "name string, size long").df
 
 
-@query("select 8 as n, true as bounded")
+@query("select k, v from (select n_regionkey * 100 + n_nationkey as k, n_name as v, row_number() over (partition by n_regionkey order by n_nationkey) as i from nation) where i <= 2")
 def partition_limit(spark, d):
-    dealt = table(spark, d, "orders").map(lambda r: r.o_orderkey).repartition(4).partition_limit(2)
-    return dealt.df.agg(F.count("*").cast("int").alias("n"), F.lit(True).alias("bounded"))
+    keyed = table(spark, d, "nation").key_by(lambda r: (r.n_regionkey * 100 + r.n_nationkey).cast("long"), lambda r: r.n_name)
+    return out(keyed.repartition_by_key(5, lambda k: F.floor(k / 100)).partition_limit(2), "k", "v")
 
 
 # ---- partitioning --------------------------------------------------------------------------
@@ -389,16 +392,36 @@ def union_all_self(spark, d):
     return out(names.union_all(names), "v")
 
 
-@query("select o_orderkey as k, o_totalprice as v from orders order by k desc limit 100")
+@query("select o_orderkey as k, o_totalprice as v, row_number() over (order by o_orderkey desc) - 1 as place from orders")
 def sort_by_key_desc(spark, d):
-    return out(pairs(spark, d, "orders", "o_orderkey", "o_totalprice").sort_by_key(ascending=False).limit(100), "k", "v")
+    data = pairs(spark, d, "orders", "o_orderkey", "o_totalprice").sort_by_key(ascending=False)
+    return out(data.zip_with_index(), "k", "v", "place")
 
 
-@query("select o_orderkey as k, o_totalprice as v from orders order by v desc, k limit 50")
+@query("select o_orderkey as k, o_totalprice as v from orders")
 def sort_by_value(spark, d):
+    return out(pairs(spark, d, "orders", "o_orderkey", "o_totalprice").sort_by_value(ascending=False), "k", "v")
+
+
+@query("select o_orderkey as k, row_number() over (order by o_totalprice desc, o_orderkey) - 1 as place from orders")
+def sort_by_value_extracted(spark, d):
     data = pairs(spark, d, "orders", "o_orderkey", "o_totalprice")
-    by = data.map_values(lambda v: F.struct(v.alias("v"), (-F.col("key")).alias("k")))
-    return out(by.sort_by_value(ascending=False).map_values(lambda v: v.v).limit(50), "k", "v")
+    by = data.map_values(lambda v: F.struct(v.alias("v"), (-F.col("key")).alias("k"))).sort_by_value(ascending=False)
+    return out(Dataset(by.zip_with_index().df.select("key", "index")), "k", "place")
+
+
+@query("select n, min(i) as first, max(i) as last from (select n, row_number() over (order by n nulls first) - 1 as i from (select nullif(c_nationkey % 7, 3) as n from customer)) group by n")
+def sort_nulls_first(spark, d):
+    data = table(spark, d, "customer").key_by(lambda r: F.nullif(r.c_nationkey % 7, F.lit(3)), lambda r: r.c_custkey)
+    placed = data.sort_by_key().zip_with_index().df
+    return placed.groupBy(F.col("key").alias("n")).agg(F.min("index").alias("first"), F.max("index").alias("last"))
+
+
+@query("select n, min(i) as first, max(i) as last from (select n, row_number() over (order by n desc nulls last) - 1 as i from (select nullif(c_nationkey % 7, 3) as n from customer)) group by n")
+def sort_nulls_last_descending(spark, d):
+    data = table(spark, d, "customer").key_by(lambda r: F.nullif(r.c_nationkey % 7, F.lit(3)), lambda r: r.c_custkey)
+    placed = data.sort_by_key(ascending=False).zip_with_index().df
+    return placed.groupBy(F.col("key").alias("n")).agg(F.min("index").alias("first"), F.max("index").alias("last"))
 
 
 @query("select c_custkey as k from customer order by c_custkey limit 20")
@@ -406,10 +429,11 @@ def limit_sorted(spark, d):
     return out(pairs(spark, d, "customer", "c_custkey", "c_name").sort_by_key().keys().limit(20), "k")
 
 
-@query("select n_name as k, n_nationkey as v from nation")
+@query("select n_name as k, n_nationkey as v, row_number() over (order by length(n_name), n_name desc) - 1 as place from nation")
 def sort_by_comparator(spark, d):
     data = pairs(spark, d, "nation", "n_name", "n_nationkey")
-    return out(data.sort_by_key_python(lambda a, b: (a > b) - (a < b)), "k", "v")
+    longer = lambda a, b: (len(a) > len(b)) - (len(a) < len(b)) or (a < b) - (a > b)
+    return out(data.sort_by_key_python(longer).zip_with_index(), "k", "v", "place")
 
 
 # ---- caching, sources, iteration -----------------------------------------------------------
@@ -463,15 +487,138 @@ def _pagerank(spark, d):
     return pagerank(edges, 3).select("node", F.round("rank", 6).alias("rank"))
 
 
+# ---- contexts, literal sources, files and actions -------------------------------------------
+
+
+def shared_folder(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/files/{uuid.uuid4().hex}"
+
+
+@query("select c_name as line, 1 as n from customer")
+def text_file(spark, d):
+    path = shared_folder(spark)
+    table(spark, d, "customer").map(lambda r: r.c_name).write(path, "text")
+    lines = Context(spark).text_file(path, 2)
+    return lines.key_by(lambda x: x, lambda x: F.lit(1)).reduce_by_key("count").df.toDF("line", "n")
+
+
+@query("select n_regionkey as node, n_nationkey as target from nation")
+def adjacency_file(spark, d):
+    path = shared_folder(spark)
+    nations = table(spark, d, "nation").df.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_nationkey")), " ").alias("line"))
+    Dataset(nations.coalesce(1).sortWithinPartitions("n_regionkey").select("line")).write(path, "text")
+    return Context(spark).adjacency_file(path).flat_map_values(lambda v: v).df.toDF("node", "target")
+
+
+@query("select i as v from range(1, 101) t(i)")
+def make_dataset(spark, d):
+    return Context(spark).make_dataset(range(1, 101), 4, "long").df.toDF("v")
+
+
+@query("select * from (values ('a', 1), ('b', 2), ('a', 3)) t(k, v)")
+def make_kv(spark, d):
+    return Context(spark).make_kv([("a", 1), ("b", 2), ("a", 3)], 2, "string", "int").df.toDF("k", "v")
+
+
+@query("select n_name as v from nation")
+def empty_union(spark, d):
+    return Context(spark).empty().union_all(table(spark, d, "nation").map(lambda r: r.n_name)).df.toDF("v")
+
+
+@query("select n_name as k, n_nationkey as v from nation")
+def collect_map(spark, d):
+    found = pairs(spark, d, "nation", "n_name", "n_nationkey").collect_map()
+    return spark.createDataFrame(list(found.items()), "k string, v int")
+
+
+@query("select r_name as v from region")
+def collect_rows(spark, d):
+    return spark.createDataFrame([(v,) for v in table(spark, d, "region").map(lambda r: r.r_name).collect()], "v string")
+
+
+@query("select n_regionkey as p, count(*) as n from nation group by 1")
+def run_job(spark, d):
+    dealt = pairs(spark, d, "nation", "n_regionkey", "n_name").repartition_by_key(5, lambda k: k)
+    sizes = Context(spark).run_job(dealt, lambda rows: sum(1 for _ in rows))
+    return spark.createDataFrame(list(enumerate(sizes)), "p int, n long")
+
+
+@query("select count(*) as rows, 2 * count(*) as twice from nation")
+def foreach_actions(spark, d):
+    rows, twice = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    data = table(spark, d, "nation").map(lambda r: r.n_name)
+    data.foreach(lambda _: rows.add(1))
+    data.foreach_partition(lambda part: twice.add(2 * sum(1 for _ in part)))
+    return spark.createDataFrame([(rows.value, twice.value)], "rows long, twice long")
+
+
+@query("select count(*) as n from supplier")
+def count_rows(spark, d):
+    return spark.createDataFrame([(table(spark, d, "supplier").count(),)], "n long")
+
+
+@query("select o_custkey as k, o_orderkey as v from orders union all select c_custkey, c_nationkey from customer")
+def pair_union_all(spark, d):
+    return out(pairs(spark, d, "orders", "o_custkey", "o_orderkey").union_all(pairs(spark, d, "customer", "c_custkey", "c_nationkey")), "k", "v")
+
+
+@query("select o_custkey as k, o_orderkey as v from orders")
+def pair_repartition(spark, d):
+    return out(pairs(spark, d, "orders", "o_custkey", "o_orderkey").repartition(3), "k", "v")
+
+
+@query("select o_custkey as k, count(*) as v from orders group by 1")
+def repartition_by_key_default(spark, d):
+    return out(pairs(spark, d, "orders", "o_custkey", "o_orderkey").repartition_by_key().count_by_key(), "k", "v")
+
+
+@query("select 7 as by_row, 3 as by_key")
+def partition_counts(spark, d):
+    data = pairs(spark, d, "nation", "n_regionkey", "n_name")
+    return spark.createDataFrame([(data.repartition(7).num_partitions(), data.repartition_by_key(3).num_partitions())], "by_row int, by_key int")
+
+
+@query("select unnest(['MEM_ONLY', 'MEM_DISK', 'DISK_ONLY']) as mode, (select count(*) from nation) as n")
+def cache_modes(spark, d):
+    found = []
+    for mode in CACHE_MODES:
+        kept = table(spark, d, "nation").map(lambda r: r.n_name).cache(mode)
+        found.append((mode, kept.count()))
+        kept.uncache()
+    return spark.createDataFrame(found, "mode string, n long")
+
+
+@query("select n_name as name, chr(ascii(n_name) + 1) as shifted, n_nationkey % 2 as odd, cast(cast(n_nationkey as varchar) as int) as parsed, trim(concat(' ', n_name)) as trimmed, substr(n_name, 2, 3) as part from nation")
+def scalar_functions(spark, d):
+    rows = table(spark, d, "nation").df
+    parsed = F.col("n_nationkey").cast("string").cast("int")
+    return rows.select(F.col("n_name").alias("name"), shift_char(F.col("n_name")).alias("shifted"), (F.col("n_nationkey") % 2).alias("odd"), parsed.alias("parsed"), F.trim(F.concat(F.lit(" "), "n_name")).alias("trimmed"), F.substring("n_name", 2, 3).alias("part"))
+
+
+@query("select l_suppkey as k, max(l_quantity) as v from lineitem group by 1")
+def streamed_fold(spark, d):
+    """The keyed state of a stream over all rows of a table, once."""
+    from tessera.streaming import fold_by_key
+
+    schema = spark.read.parquet(f"{d}/lineitem.parquet").schema
+    path, name = shared_folder(spark), f"fold_{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(schema).parquet(f"{d}/lineitem*.parquet").select(F.col("l_suppkey").alias("key"), F.col("l_quantity").cast("double").alias("value"))
+    folded = fold_by_key(rows, "key", "value", "double", lambda at, x: at.update(max(at.state, float(x))), 0.0)
+    folded.writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).groupBy(F.col("key").alias("k")).agg(F.max("state").alias("v"))
+
+
 # ---- the example programs ------------------------------------------------------------------
 
 
 @query(f"select substr(w, 1, 1) as k, cast(sum(length(w)) as bigint) as chars, count(*) as n from ({WORDS_SQL}) where {NOT_BLANK} group by 1")
 def join_demo(spark, d):
-    first = lambda w: F.substring(w, 1, 1)
-    found = words(spark, d)
-    counts = found.key_by(first, lambda w: F.lit(1)).reduce_by_key("sum")
-    lengths = found.key_by(first, lambda w: F.length(w)).reduce_by_key("sum")
+    # Both sums come from one table of distinct words, whose exchange Spark reuses.
+    found = counted_words(spark, d).df
+    first = F.substring("key", 1, 1).alias("key")
+    counts = KeyedDataset(found.select(first, "value")).reduce_by_key("sum")
+    lengths = KeyedDataset(found.select(first, (F.length("key") * F.col("value")).alias("value"))).reduce_by_key("sum")
     return flat(lengths.join(counts), "chars", "n")
 
 

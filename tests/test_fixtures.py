@@ -285,3 +285,21 @@ def test_library_does_not_import_llm():
                 if name.endswith(".py"):
                     with open(os.path.join(folder, name)) as f:
                         assert "tessera.llm" not in f.read()
+
+
+def test_a_state_may_be_any_value(ctx):
+    folded = ctx.make_kv([("k", "__nothing__"), ("k", "x")], 1).reduce_by_key_python(lambda a, b: min(a, b) + max(a, b))
+    assert folded.collect() == [("k", "__nothing__x")]
+
+
+def test_a_cluster_must_name_its_checkpoint_folder():
+    from tessera.checkpoints import ensure_checkpoint_dir
+
+    class Cluster:
+        master = "spark://host:7077"
+        sparkContext = conf = property(lambda self: self)  # noqa: N815
+        getCheckpointDir = lambda self: None  # noqa: E731, N815
+        get = lambda self, key, default=None: default
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        ensure_checkpoint_dir(Cluster())
