@@ -2,7 +2,7 @@
 
 No pre-token is ever shuffled. A text is cut at its single spaces; a byte-level tokenizer's pre-tokens never reach over
 such a cut, so the token count of the text is the sum over the pieces. The lengths of frequent pieces come from a
-broadcast table; a piece that is not in it is encoded once by the tokenizer library and then kept in a bounded cache of
+broadcast table, taken from counts of all documents; a piece that is not in it is encoded once by the tokenizer library and then kept in a bounded cache of
 the Python worker. The tables only save time: any text gives the library's count with either table empty.
 """
 
@@ -12,6 +12,7 @@ import json
 import os
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
@@ -23,9 +24,9 @@ from tessera.llm.common import arrow_column, bound_batches, keyed_text
 #: Pieces in the broadcast table and the longest one it takes, which bound it to a few MB.
 FREQUENT = 50_000
 MAX_PIECE_CHARS = 40
-#: Documents that the frequent table is taken from; any choice gives the same counts.
-TABLE_DOCS = 2_000
-TABLE_DOC_CHARS = 8_192
+#: Pieces a task reports of those it counted, and pieces it counts at once: beyond that, the rarer half is forgotten.
+REPORTED = 20_000
+COUNTED = 400_000
 #: Pieces a worker's cache holds before it starts anew.
 CACHE_PIECES = 400_000
 
@@ -103,16 +104,28 @@ def _counter(path: str, table: Broadcast | None) -> TokenCounter:
     return _workers[key]
 
 
-def frequent_pieces(docs: DataFrame, path: str, n: int = FREQUENT, table_docs: int = TABLE_DOCS) -> dict[str, int]:
-    """The token counts of the most frequent pieces among some short documents of the first partitions.
+def frequent_pieces(rows: DataFrame, path: str, n: int = FREQUENT, reported: int = REPORTED, counted: int = COUNTED) -> dict[str, int]:
+    """The token counts of the most frequent pieces of all texts.
 
-    ``take`` reads no more partitions than it needs, and at most TABLE_DOCS * TABLE_DOC_CHARS characters reach the driver.
+    Every task counts the pieces of its documents and reports its most frequent ones, so that ``reported`` rows a task
+    are shuffled and no pre-token is. What tasks do not report can only change which pieces are in the table.
     """
-    counter, seen = TokenCounter(path), Counter()
-    if counter.by_piece:
-        for row in docs.filter(F.char_length("text") <= TABLE_DOC_CHARS).select("text").take(table_docs):
-            seen.update(p for p in counter.pieces(row["text"]) if len(p) <= MAX_PIECE_CHARS)
-    pieces = [p for p, _ in seen.most_common(n)]
+    counter = TokenCounter(path)
+    if not counter.by_piece:
+        return {}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, seen = _counter(path, None).pieces, Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                seen.update(cut(text))
+            if len(seen) > counted:
+                seen = Counter(dict(seen.most_common(counted // 2)))
+        found = [x for x in seen.most_common(reported) if len(x[0]) <= MAX_PIECE_CHARS]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([c for _, c in found], pa.int64())], names=["piece", "n"])
+
+    summed = rows.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    pieces = [r["piece"] for r in summed.orderBy(F.desc("n"), "piece").limit(n).collect()]
     return dict(zip(pieces, counter.encode(pieces), strict=True)) if pieces else {}
 
 
