@@ -1,9 +1,11 @@
 """Licence scans: exact phrases, and templates found by a positional index of their rare words.
 
 Each template is a list of words with positions. Document frequencies of all template words, counted over the whole
-corpus, give their IDF. For a file, the template words it holds are taken from the rarest down; each is looked up in the
-postings (template, position) and votes for the alignment ``position in file - position in template``. An alignment whose
-votes carry enough of the template's IDF is verified by the template's mandatory phrase near it.
+corpus, give their IDF. For a file, the licence words it holds are taken from the rarest down; each is looked up in the
+postings (template, position) and gives the alignments ``position in file - position in template``. A template's words
+that the file lacks and those looked up so far are added up: once an alignment could not lack them all, no further word
+of the template needs to be looked up, and a template of which the file lacks too much is not looked up at all. Alignments
+are verified by the template's mandatory phrases near them and by the IDF of the words that stand in their places.
 """
 
 from __future__ import annotations
@@ -32,12 +34,17 @@ TEMPLATES = [
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license"]),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", ["creative commons attribution noncommercial"]),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License", ["creative commons attribution sharealike"]),
+    ("lgpl", "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ["gnu lesser general public license"]),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify and or distribute this software"]),
+    ("unlicense", "This is free and unencumbered software released into the public domain", ["released into the public domain"]),
     ("all-rights-reserved", "all rights reserved", ["all rights reserved"]),
 ]
 
 #: Share of a template's IDF that an alignment must carry, and how far a word may stand from its place in it.
 MIN_COVERAGE = 0.6
 SLACK = 2
+#: A word may stand this far from its place, so its alignments are those of all these places.
+SHIFTS = range(-SLACK, SLACK + 1)
 
 #: Bytes that are not part of a word become spaces; A-Z become lower case.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -78,19 +85,13 @@ class LicenseIndex:
                 self.idf[word] = math.log((n_docs + 1) / (frequencies.get(word.decode(), 0) + 1)) + 0.1
             self.templates.append((label, words, [_phrase(k) for k in keys]))
         self.totals = [sum(self.idf[w] for w in words) for _, words, _ in self.templates]
-        #: Rarest word of each template: without it and the next rarest ones, coverage cannot be reached.
+        #: What a template's word weighs, wherever it stands in it; and what a covered template can lack.
+        self.weights: dict[bytes, dict[int, float]] = {w: defaultdict(float) for w in self.postings}
+        for word, places in self.postings.items():
+            for t, _ in places:
+                self.weights[word][t] += self.idf[word]
+        self.spare = [(1 - MIN_COVERAGE) * total + 1e-9 for total in self.totals]
         self.vocabulary = frozenset(self.postings)
-        self.anchors = frozenset(w for _, words, _ in self.templates for w in self._needed(words))
-
-    def _needed(self, words: list[bytes]) -> list[bytes]:
-        """The rarest words that a covered template cannot all lack."""
-        out, left, total = [], 0.0, sum(self.idf[w] for w in words)
-        for word in sorted(set(words), key=lambda w: -self.idf[w]):
-            out.append(word)
-            left += self.idf[word] * words.count(word)
-            if left > (1 - MIN_COVERAGE) * total:
-                break
-        return out
 
     def scan(self, text: str) -> dict[str, Any]:
         words = words_of(text)
@@ -101,28 +102,47 @@ class LicenseIndex:
                 starts += hits
                 base.add(label)
         found: dict[str, float] = dict.fromkeys(base, 1.0)
-        if not self.anchors.isdisjoint(words):
-            for label, coverage in self._aligned(words, norm):
-                found[label] = max(found.get(label, 0.0), coverage)
+        for label, coverage in self._aligned(words, norm):
+            found[label] = max(found.get(label, 0.0), coverage)
         return {
             "n_words": len(words), "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None),
             "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(found)), "score": max(found.values(), default=0.0),
         }
 
+    def _looked_up(self, held: set[bytes]) -> dict[int, list[tuple[bytes, int]]]:
+        """For each template that a file with these licence words can cover: the words that fix its alignments."""
+        missed = list(self.totals)
+        for word in held:
+            for t, weight in self.weights[word].items():
+                missed[t] -= weight
+        out: dict[int, list[tuple[bytes, int]]] = {t: [] for t, lacking in enumerate(missed) if lacking <= self.spare[t]}
+        if not out:
+            return out
+        for word in sorted(held, key=lambda w: (-self.idf[w], w)):
+            open_ones = {t for t in self.weights[word] if t in out and missed[t] <= self.spare[t]}
+            out_of = [(t, pos) for t, pos in self.postings[word] if t in open_ones]
+            for t, pos in out_of:
+                out[t].append((word, pos))
+            for t in open_ones:
+                missed[t] += self.weights[word][t]
+        return out
+
     def _aligned(self, words: list[bytes], norm: bytes) -> list[tuple[str, float]]:
+        looked_up = self._looked_up(self.vocabulary.intersection(words))
+        if not looked_up:
+            return []
         places: dict[bytes, list[int]] = defaultdict(list)
         for i, word in enumerate(words):
             if word in self.vocabulary:
                 places[word].append(i)
         offsets: dict[int, set[int]] = defaultdict(set)
-        for word in self.anchors & places.keys():
-            for t, pos in self.postings[word]:
-                offsets[t].update(i - pos for i in places[word])
+        for t, found in looked_up.items():
+            if all(k in norm for k in self.templates[t][2]):
+                for word, pos in found:
+                    offsets[t].update(i - pos + s for i in places[word] for s in SHIFTS)
         out = []
         for t, found in offsets.items():
             label, template, keys = self.templates[t]
-            if not all(k in norm for k in keys):
-                continue
             key_places = [starts_of(norm, k) for k in keys]
             best = 0.0
             for offset in found:

@@ -81,6 +81,63 @@ def test_license_base_equals_brute_force(spark):
     assert license_scan.scan_licenses(docs.limit(0)).collect() == []
 
 
+def brute_alignments(index, text):
+    """Labels and coverages from every alignment of every template."""
+    words = license_scan.words_of(text)
+    joined, found = b" " + b" ".join(words) + b" ", {}
+    slack = license_scan.SLACK
+    for label, template, keys in index.templates:
+        total = sum(index.idf[w] for w in template)
+        for offset in range(-len(template) - slack, len(words) + slack + 1):
+            near = lambda at, want, far: any(abs(i - want) <= far for i in at)
+            if not all(near([i for i in range(len(words)) if joined.startswith(k, len(b" ".join(words[:i])) + bool(i))], offset, len(template) + slack) for k in keys):
+                continue
+            share = sum(index.idf[w] for p, w in enumerate(template) if w in words[max(0, offset + p - slack) : max(0, offset + p + slack + 1)]) / total
+            if share >= license_scan.MIN_COVERAGE:
+                found[label] = max(found.get(label, 0.0), min(1.0, share))
+    return found
+
+
+def test_license_alignments_equal_brute_force():
+    rng = random.Random(5)
+    for frequencies, n_docs in (({}, 10), ({"the": 90, "license": 60, "software": 3, "all": 99, "version": 20}, 100)):
+        index = license_scan.LicenseIndex(frequencies, n_docs)
+        held = 0
+        for _ in range(120):
+            words = []
+            for _ in range(rng.randrange(1, 3)):
+                part = rng.choice(license_scan.TEMPLATES)[1].split()
+                part = [w for w in part if rng.random() > rng.choice([0, 0.05, 0.3])]
+                words += part + rng.choices(["the", "software", "x", "of"], k=rng.randrange(4))
+            text = " ".join(words)
+            norm = b" " + b" ".join(license_scan.words_of(text)) + b" "
+            got = {}
+            for label, share in index._aligned(license_scan.words_of(text), norm):
+                got[label] = max(got.get(label, 0.0), share)
+            want = brute_alignments(index, text)
+            assert got.keys() == want.keys(), text
+            assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
+            held += len(want)
+        assert held > 50
+
+
+def test_license_repeated_rows_and_null_ids(spark):
+    docs = spark.createDataFrame([(None, "cc by nc"), (None, "cc by nc"), (3, "x"), (3, "x")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_base"], r["base_labels"]) for r in license_scan.scan_licenses(docs).collect()), key=str)
+    assert got == [(3, 0, ""), (3, 0, ""), (None, 1, "cc-by-nc"), (None, 1, "cc-by-nc")]
+
+
+def test_frequent_pieces_come_from_all_partitions(spark):
+    """Every task's documents are counted, however late it stands and however long they are."""
+    rows = [(i, f"early{i % 7} " * 3) for i in range(40)] + [(99, "late " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id")
+    table = token_counts.frequent_pieces(docs, BPE, n=3)
+    assert " late" in table and len(table) == 3
+    few = token_counts.frequent_pieces(docs, BPE, n=3, reported=2, counted=4)
+    assert " late" in few and all(n == token_counts.TokenCounter(BPE).count([p])[0] for p, n in (table | few).items())
+    assert token_counts.frequent_pieces(docs.limit(0), BPE) == {}
+
+
 def brute_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
