@@ -73,6 +73,7 @@ def case(seed):
 def test_components_equal_brute_force(spark, seed, width, similarity, monkeypatch):
     if seed == 2:  # many tiles and salts, and no side small enough for a broadcast
         monkeypatch.setattr(pj, "TILE_ROWS", 3)
+        monkeypatch.setattr(pj, "PARTNERS", 2)
         monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
     docs = case(seed)
     frame = spark.createDataFrame([(d, t, d) for d, t in docs], "doc_id long, text string, node long")
