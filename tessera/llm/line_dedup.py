@@ -225,10 +225,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), "dropped")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_min_chars: int = NEAR_MIN_CHARS, edits: int = MAX_EDITS, keep_emptied: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_min_chars: int = NEAR_MIN_CHARS, edits: int = MAX_EDITS, keep_emptied: bool = True, least_left: float = 0.0) -> DataFrame:
     """``docs`` with the dropped lines taken out of their texts; all columns stay, and all rows.
 
-    Unless ``keep_emptied``, a row goes if lines were dropped from it and what is left is blank.
+    Unless ``keep_emptied``, a row goes if lines were dropped from it and what is left is blank. With ``least_left``, a
+    row also goes if lines were dropped and less than this share of its characters is left: it repeats earlier text.
     """
     kept = kept_lines(docs, id_col, text_col, min_chars, near_min_chars, edits)
     held = boxed(docs, doc=F.col(id_col).cast("long"), lines=lines_of(F.col(text_col).cast("string")))
@@ -241,6 +242,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     end = lambda k: F.coalesce(F.get("dropped", k), F.size("lines"))
     parts = F.transform(F.sequence(F.lit(0), F.size("dropped")), lambda k: F.slice("lines", begin(k) + 1, end(k) - begin(k)))
     cleaned = changed.select("row", F.when(F.size("dropped") > 0, F.array_join(F.flatten(parts), "\n")).alias("cleaned"))
+    if least_left:
+        before = F.char_length(F.col("row").getField(text_col).cast("string"))
+        cleaned = cleaned.filter(F.col("cleaned").isNull() | (F.char_length("cleaned") >= F.lit(least_left) * before))
     if not keep_emptied:
         cleaned = cleaned.filter(F.col("cleaned").isNull() | ~F.col("cleaned").rlike(r"^[\x20\x09-\x0D]*$"))
     text = F.coalesce("cleaned", F.col("row").getField(text_col))
