@@ -25,11 +25,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that an earlier line repeats, and documents of which nothing but blank space is left.
+    """Takes out lines that an earlier line repeats, and documents of which less than a fifth or only blank space is left.
 
-    n_chars follows the text. Documents that were blank before stay as they are.
+    Of such a document at least 0.8 repeats earlier text, so it is a near copy; the next stage could not know the scrap of
+    it for one. n_chars follows the text. Documents that were blank before stay as they are.
     """
-    after = dedup_lines(docs, keep_emptied=False)
+    after = dedup_lines(docs, keep_emptied=False, least_left=0.2)
     return after.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
