@@ -25,8 +25,9 @@ MAX_EDITS = 2
 #: More than the lines that any text can have.
 PLACES = 2**31
 
-#: At most 32 characters, whose counts part lines that only share a segment.
+#: Sets of at most 32 characters, whose counts part lines that only share a segment.
 LETTERS = "abcdefghijklmnopqrstuvwxyz .,"
+DIGITS = "0123456789-:/_"
 
 _BLANK = r"^[\x20\x09-\x0D]*$"
 
@@ -135,18 +136,18 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     return F.when(F.abs(gap) > edits, F.lit(False)).when((n == 0) | (a == b), F.lit(True)).otherwise(end != 0)
 
 
-def letter_counts(line: Column) -> Column:
-    """Counts of LETTERS, two bits each, modulo 4 in Gray code: a count that moves by one flips one bit."""
+def letter_counts(line: Column, letters: str) -> Column:
+    """Counts of up to 32 characters, two bits each, modulo 4 in Gray code: a count that moves by one flips one bit."""
     n, out = F.char_length(line), F.lit(0).cast("long")
-    for k, letter in enumerate(LETTERS):
+    for k, letter in enumerate(letters):
         count = (n - F.char_length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(3))
         out = out.bitwiseOR(F.shiftleft(count.bitwiseXOR(F.shiftright(count, 1)).cast("long"), 2 * k))
     return out
 
 
 def counts_differ(a: Column, b: Column) -> Column:
-    """A lower bound on the summed difference of two lines' letter counts; an edit changes the counts by two at most."""
-    return F.bit_count(a.bitwiseXOR(b))
+    """A lower bound on the summed difference of two lines' character counts; an edit changes the counts by two at most."""
+    return F.bit_count(a["letters"].bitwiseXOR(b["letters"])) + F.bit_count(a["digits"].bitwiseXOR(b["digits"]))
 
 
 def keyed_lines(firsts: DataFrame, near_min_chars: int, edits: int) -> DataFrame:
@@ -167,16 +168,19 @@ def meeting_lines(lines: DataFrame) -> DataFrame:
 
 
 def near_pairs(met: DataFrame, text: DataFrame, edits: int) -> DataFrame:
-    """(a, b): places of lines that share a segment and have about the same letters, the earlier line first.
+    """(a, b, apart): places of lines that share a segment and have about the same letters, the earlier line first.
+
+    ``apart`` is the lower bound on the difference of their letters.
 
     Variants of one line that differ in whole words share segments too; their letter counts part them inside the join,
     so what comes out of it follows the number of lines that are near each other.
     """
-    known = met.join(text.select("at", letter_counts(F.col("line")).alias("letters")), "at")
-    index = known.filter("held").select("key", F.col("at").alias("a"), F.col("letters").alias("x"))
-    probes = known.filter("not held").select("key", F.col("at").alias("b"), F.col("letters").alias("y"))
-    found = probes.join(index, (probes["key"] == index["key"]) & (F.col("a") != F.col("b")) & (counts_differ(F.col("x"), F.col("y")) <= 2 * edits))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = met.join(text.select("at", F.struct(letter_counts(F.col("line"), LETTERS).alias("letters"), letter_counts(F.col("line"), DIGITS).alias("digits")).alias("counts")), "at")
+    index = known.filter("held").select("key", F.col("at").alias("a"), F.col("counts").alias("x"))
+    probes = known.filter("not held").select("key", F.col("at").alias("b"), F.col("counts").alias("y"))
+    apart = counts_differ(F.col("x"), F.col("y"))
+    found = probes.join(index, (probes["key"] == index["key"]) & (F.col("a") != F.col("b")) & (apart <= 2 * edits))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), apart.alias("apart")).distinct()
 
 
 def lines_at(rows: DataFrame, places: DataFrame) -> DataFrame:
@@ -190,12 +194,23 @@ def lines_at(rows: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def near_copies(lines: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
-    """Places of lines that have an earlier line within the threshold. Only lines that meet another are read again."""
+    """Places of lines that have an earlier line within the threshold. Only lines that meet another are read again.
+
+    One earlier line is enough, so each line is compared with the earlier one whose letters are the likest, and only the
+    lines that this does not settle are compared with the others they met.
+    """
     met = materialized(meeting_lines(lines))
     text = materialized(lines_at(rows, met.select("at").distinct()))
-    pairs = near_pairs(met, text, edits)
-    both = pairs.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b")
-    return both.filter(within_edits(F.col("x"), F.col("y"), edits)).select(F.col("b").alias("at")).distinct()
+    pairs = materialized(near_pairs(met, text, edits))
+
+    def within(some: DataFrame) -> DataFrame:
+        both = some.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b")
+        return both.filter(within_edits(F.col("x"), F.col("y"), edits)).select(F.col("b").alias("at"))
+
+    likest = materialized(pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("least")).select("b", "least.a"))
+    settled = checkpointed(within(likest))
+    rest = pairs.select("a", "b").join(settled.withColumnRenamed("at", "b"), "b", "left_anti").join(likest, ["a", "b"], "left_anti")
+    return settled.unionAll(within(rest).distinct())
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_min_chars: int = NEAR_MIN_CHARS, edits: int = MAX_EDITS) -> DataFrame:
