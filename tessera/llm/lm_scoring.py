@@ -4,7 +4,9 @@ The n-gram count tables are partitioned by hash into buckets, documents into blo
 each bucket the distinct n-grams of its documents with their counts, as one row of packed sorted hashes; however frequent
 an n-gram is, a bucket gets it once from a block. A bucket adds the counts up and answers with the corpus counts in the
 order it was asked. The answers are joined to the block's documents (sent compressed), whose n-grams are laid out anew and scored, and
-the scores are summed by document. The order of a block's distinct hashes is the join key, so no hash travels back.
+the scores are summed by document. The order of a block's distinct hashes is the join key, so no hash travels back. A block
+and a bucket exchange a row only if the block has n-grams of the bucket, so there are no more rows than distinct n-grams of
+blocks. The number of words of the corpus is a factor of the scores that is applied last, from the documents' own numbers.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches, keyed_text
+from tessera.llm.common import bound_batches, keyed_text, materialized
 
 BLOCK_BYTES = 24_000_000
 PACK_CHARS = 16_000_000
@@ -28,7 +30,7 @@ BACKOFF = 0.4
 MIN_COUNT = 2
 
 _ASK = "bucket int, block int, hashes1 binary, counts1 binary, hashes2 binary, counts2 binary"
-_TELL = "block int, bucket int, counts1 binary, counts2 binary, total long"
+_TELL = "block int, bucket int, counts1 binary, counts2 binary"
 
 
 def word_codes(text: str) -> np.ndarray:
@@ -114,54 +116,51 @@ def _ask(buckets: int) -> Callable:
     return run
 
 
-def _tell(blocks: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in batch.to_pylist()]
-        if not rows:
-            return
-        answers = []
-        for order in ("1", "2"):
-            sizes = [len(r["hashes" + order]) // 8 for r in rows]
-            hashes = np.frombuffer(b"".join(r.pop("hashes" + order) for r in rows), np.uint64)
-            counts = np.frombuffer(b"".join(r.pop("counts" + order) for r in rows), np.int32)
-            unique, at = np.unique(hashes, return_inverse=True)
-            totals = np.bincount(at, counts, len(unique)).astype(np.int64)
-            answers.append(np.split(totals[at], np.cumsum(sizes)[:-1]))
-            if order == "1":
-                total = int(totals.sum())
-        asked = {r["block"]: i for i, r in enumerate(rows)}
-        nothing = np.zeros(0, np.int64)
-        for block in range(blocks):  # every block needs the bucket's total
-            one, two = (a[asked[block]] if block in asked else nothing for a in answers)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([rows[0]["bucket"]], pa.int32()), pa.array([one.tobytes()], pa.binary()), pa.array([two.tobytes()], pa.binary()), pa.array([total], pa.int64())], names=["block", "bucket", "counts1", "counts2", "total"])
+def _tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    if not rows:
+        return
+    answers = []
+    for order in ("1", "2"):
+        sizes = [len(r["hashes" + order]) // 8 for r in rows]
+        hashes = np.frombuffer(b"".join(r.pop("hashes" + order) for r in rows), np.uint64)
+        counts = np.frombuffer(b"".join(r.pop("counts" + order) for r in rows), np.int32)
+        unique, at = np.unique(hashes, return_inverse=True)
+        totals = np.bincount(at, counts, len(unique)).astype(np.int64)
+        answers.append(np.split(totals[at], np.cumsum(sizes)[:-1]))
+    for row, one, two in zip(rows, *answers, strict=True):
+        yield pa.RecordBatch.from_arrays([pa.array([row["block"]], pa.int32()), pa.array([row["bucket"]], pa.int32()), pa.array([one.tobytes()], pa.binary()), pa.array([two.tobytes()], pa.binary())], names=["block", "bucket", "counts1", "counts2"])
 
-    return run
 
+def block_scores(block: Block, count1: np.ndarray, count2: np.ndarray, backoff: float, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the logarithms of each document's scores, from corpus counts by place.
 
-def block_scores(block: Block, count1: np.ndarray, count2: np.ndarray, total: int, backoff: float, min_count: int) -> np.ndarray:
-    """The sum of the logarithms of each document's scores, from corpus counts by place."""
-    score = np.log(count1 / total) if len(count1) else np.zeros(0)
+    Scores of single words are left undivided by the number of words of the corpus; how many there are comes second.
+    """
+    score, single = np.log(count1), np.ones(len(count1), np.int64)
     at = block.after
     used = count2 >= min_count
     score[at] = np.where(used, np.log(np.maximum(count2, 1) / count1[at - 1]), math.log(backoff) + score[at])
-    out = np.zeros(len(block.sizes))
+    single[at] = ~used
+    out, singles = np.zeros(len(block.sizes)), np.zeros(len(block.sizes), np.int64)
     filled = block.sizes > 0
     if filled.any():
-        out[filled] = np.add.reduceat(score, (np.cumsum(block.sizes) - block.sizes)[filled])
-    return out
+        begin = (np.cumsum(block.sizes) - block.sizes)[filled]
+        out[filled], singles[filled] = np.add.reduceat(score, begin), np.add.reduceat(single, begin)
+    return out, singles
 
 
 def _score(backoff: float, min_count: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, docs, answers = [], [], {}
         for batch in batches:
-            for _, packed, bucket, one, two, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, packed, bucket, one, two in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket is None:
                     for doc, text in _unpacked(packed):
                         ids.append(doc)
                         docs.append(word_codes(text))
                 else:
-                    answers[bucket] = (one, two, total)
+                    answers[bucket] = (one, two)
         if not ids:
             return
         block = Block(docs)
@@ -173,11 +172,10 @@ def _score(backoff: float, min_count: int) -> Callable:
             counts = np.frombuffer(b"".join(answers[b][k] for b in sorted(answers)), np.int64)
             assert len(counts) == len(unique), "a block and its answers differ"
             by_place.append(counts[at] if len(unique) else np.zeros(0, np.int64))
-        total = sum(t for _, _, t in answers.values())
-        sums = block_scores(block, *by_place, total, backoff, min_count)
+        sums, singles = block_scores(block, *by_place, backoff, min_count)
         for at in range(0, len(ids), 10_000):
             part = slice(at, at + 10_000)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[part], pa.int64()), pa.array(block.sizes[part], pa.int64()), pa.array(sums[part], pa.float64())], names=["doc_id", "n_words", "log_score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part], pa.int64()), pa.array(block.sizes[part], pa.int64()), pa.array(sums[part], pa.float64()), pa.array(singles[part], pa.int64())], names=["doc_id", "n_words", "log_score", "singles"])
 
     return run
 
@@ -197,9 +195,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     packed = rows.select("block", "doc_id", "text").mapInArrow(_pack, "block int, docs binary")
     asked = packed.repartitionById(n, "block").mapInArrow(_ask(n), _ASK)
-    told = asked.repartitionById(n, "bucket").mapInArrow(_tell(n), _TELL)
-    none = {"bucket": "int", "counts1": "binary", "counts2": "binary", "total": "long"}
+    told = asked.repartitionById(n, "bucket").mapInArrow(_tell, _TELL)
+    none = {"bucket": "int", "counts1": "binary", "counts2": "binary"}
     asking = packed.select("block", "docs", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
     telling = told.select("block", F.lit(None).cast("binary").alias("docs"), *none)
-    scored = asking.unionAll(telling).repartitionById(n, "block").mapInArrow(_score(backoff, min_count), "doc_id long, n_words long, log_score double")
-    return scored.withColumn("per_word", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+    scored = asking.unionAll(telling).repartitionById(n, "block").mapInArrow(_score(backoff, min_count), "doc_id long, n_words long, log_score double, singles long")
+    scored = materialized(scored)
+    total = scored.agg(F.sum("n_words").alias("n")).first()["n"] or 1
+    score = F.col("log_score") - F.col("singles") * F.lit(math.log(total))
+    return scored.select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).alias("per_word"))
