@@ -123,3 +123,79 @@ def test_near_copies_leave_no_scraps(spark):
     ids = {r["doc_id"] for r in left}
     assert ids >= {i for i, _ in rows} - copies
     assert len(ids & copies) <= 0.1 * len(copies)
+
+
+CLASHING = ["a.b", "row", "id", "kept", "held", "gone", "lines", "text_", "__row", "__features"]
+
+
+@pytest.fixture(scope="module")
+def corners(spark):
+    """Nulls in every column, empty, blank and very long texts, repeated rows and ids, and columns named as helpers are."""
+    rng = random.Random(8)
+    good = lambda n: "\n".join(" ".join(rng.choice("the of and to in is that for it was on are with as they be at one have this".split()) + rng.choice(["", "ly", "ing", "ed", "er"]) + str(k % 7) for k in range(12)) + "." for _ in range(n))
+    text = good(8)
+    rows = [(1, text), (1, text), (2, text), (3, None), (4, ""), (5, " \n\t\n "), (None, text), (None, None), (6, good(900)), (7, "w" * 60_000), (8, good(8)), (8, good(6)), (9, "one two"), (-3, good(5))]
+    schema = ["doc_id long", "text string", "lang string", "source string", "n_chars long", *[f"`{c}` string" for c in CLASHING]]
+    frame = spark.createDataFrame([(i, t, None, "s" if i else None, len(t) if t else None, *[None if i == 9 else c for c in CLASHING]) for i, t in rows], ", ".join(schema))
+    return frame, rows
+
+
+def stage_of(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def rows_of(frame, *columns):
+    return sorted(([r[c] for c in columns] for r in frame.collect()), key=str)
+
+
+def test_quality_on_corner_cases(spark, corners):
+    docs, rows = corners
+    found = stage_of("quality_rules")(spark, docs, SF)
+    assert found.dtypes == docs.dtypes
+    judged = judge_quality(docs).filter("kept")
+    assert rows_of(found, "doc_id") == rows_of(judged, "doc_id")
+    assert not {3, 4, 5, 9} & {r["doc_id"] for r in found.collect()}
+
+
+def test_lines_on_corner_cases(spark, corners):
+    docs, rows = corners
+    found = stage_of("line_dedup")(spark, docs, SF)
+    assert found.columns == docs.columns
+    texts = rows_of(found, "doc_id", "text")
+    # Rows of one id are no copies of each other, rows without an id are left alone, of a later copy nothing is left.
+    assert texts == sorted(([i, t] for i, t in rows if i != 2), key=str)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) and r["a.b"] == (None if r["doc_id"] == 9 else "a.b") for r in found.collect())
+
+
+def test_near_duplicates_on_corner_cases(spark, corners):
+    docs, rows = corners
+    found = stage_of("near_duplicates")(spark, docs, SF)
+    assert found.dtypes == docs.dtypes
+    assert rows_of(found, "doc_id", "text") == sorted(([i, t] for i, t in rows if i != 2), key=str)
+
+
+def test_decontamination_on_corner_cases(spark, corners):
+    docs, rows = corners
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("text is not null").orderBy(F.char_length("text").desc()).first()["text"]
+    bad = docs.filter("doc_id = 9").withColumn("doc_id", F.lit(50).cast("long")).withColumn("text", F.lit(f"so {item} it is"))
+    both = docs.unionAll(bad).unionAll(bad)
+    found = stage_of("benchmark_decontamination")(spark, both, SF)
+    assert found.dtypes == docs.dtypes
+    assert rows_of(found, "doc_id", "text") == sorted(([i, t] for i, t in rows), key=str)
+
+
+def test_segmentations_on_corner_cases(spark, corners):
+    docs, rows = corners
+    found = stage_of("sentencepiece")(spark, docs, SF).collect()
+    assert all(r["round_trip"] for r in found)
+    first = sorted(str(r["doc_id"]) for r in found if r["sample"] == 0)
+    assert first == sorted(str(i) for i, _ in rows)
+    assert all(r["ids"] == [] for r in found if r["doc_id"] in (3, 4))
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_an_empty_table(spark, corners, name):
+    docs = corners[0].limit(0)
+    found = stage_of(name)(spark, docs, SF)
+    assert found.count() == 0
+    assert name == "sentencepiece" or found.columns == docs.columns
