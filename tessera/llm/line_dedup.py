@@ -207,9 +207,9 @@ def near_copies(lines: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
         both = some.join(text.toDF("a", "x"), "a").join(text.toDF("b", "y"), "b")
         return both.filter(within_edits(F.col("x"), F.col("y"), edits)).select(F.col("b").alias("at"))
 
-    likest = materialized(pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("least")).select("b", "least.a"))
+    likest = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("least")).select("b", "least.a")
     settled = checkpointed(within(likest))
-    rest = pairs.select("a", "b").join(settled.withColumnRenamed("at", "b"), "b", "left_anti").join(likest, ["a", "b"], "left_anti")
+    rest = pairs.select("a", "b").join(settled.withColumnRenamed("at", "b"), "b", "left_anti")
     return settled.unionAll(within(rest).distinct())
 
 
