@@ -65,33 +65,39 @@ def place_of(at: str) -> tuple[Column, Column]:
     return F.expr(f"({at} - pmod({at}, {PLACES}BD)) div {PLACES}BD").cast("long").alias("id"), pos.cast("int").alias("pos")
 
 
-def _start(i: int, length: Column, parts: int) -> Column:
-    return F.floor(length * i / parts).cast("int")
+def _starts(n: Column, edits: int) -> dict[str, Column]:
+    """Where the inner segments of lines of n characters and of up to ``edits`` fewer start, named as ``_start`` reads them."""
+    parts = edits + 1
+    return {f"start_{shorter}_{i}": F.floor((n - shorter) * i / parts).cast("int") for shorter in range(edits + 1) for i in range(1, parts)}
+
+
+def _start(i: int, shorter: int, n: Column, edits: int) -> Column:
+    return F.lit(0) if i == 0 else n - shorter if i > edits else F.col(f"start_{shorter}_{i}")
 
 
-def _key(length: Column, i: int, segment: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), segment)
+def _key(length: Column, i: int, wide: Column, start: Column, size: Column) -> Column:
+    """The key of ``size`` characters from ``start`` on; ``wide`` holds four bytes for each, so nothing before them is read."""
+    return F.xxhash64(length, F.lit(i), F.substring(wide, start * 4 + 1, size * 4))
 
 
-def segment_keys(line: Column, n: Column, edits: int) -> Column:
+def segment_keys(wide: Column, n: Column, edits: int) -> Column:
     """The keys under which a line of n characters is found: its own segments."""
-    parts = edits + 1
-    return F.array(*[_key(n, i, F.substring(line, _start(i, n, parts) + 1, _start(i + 1, n, parts) - _start(i, n, parts))) for i in range(parts)])
+    starts = [_start(i, 0, n, edits) for i in range(edits + 2)]
+    return F.array(*[_key(n, i, wide, starts[i], starts[i + 1] - starts[i]) for i in range(edits + 1)])
 
 
-def probe_keys(line: Column, n: Column, edits: int) -> Column:
+def probe_keys(wide: Column, n: Column, edits: int) -> Column:
     """The keys that a line of n characters looks up: substrings that can equal a segment of a line at most ``edits`` shorter.
 
     Segment i has at most i edits before it and edits - i after it, so its place moves by at most i from the left and
     by at most edits - i from the right.
     """
-    parts, out = edits + 1, []
+    out = []
     for shorter in range(edits + 1):
-        length = n - shorter
-        for i in range(parts):
-            start, size = _start(i, length, parts), _start(i + 1, length, parts) - _start(i, length, parts)
+        for i in range(edits + 1):
+            start, size = _start(i, shorter, n, edits), _start(i + 1, shorter, n, edits) - _start(i, shorter, n, edits)
             for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                out.append(_key(length, i, F.substring(line, start + move + 1, size)))
+                out.append(_key(n - shorter, i, wide, start + move, size))
     return F.array(*out)
 
 
@@ -151,12 +157,17 @@ def counts_differ(a: Column, b: Column) -> Column:
 
 
 def keyed_lines(firsts: DataFrame, near_min_chars: int, edits: int) -> DataFrame:
-    """at, index, probes: the places of lines and what the near join needs of them, without their texts."""
-    line, n = F.col("line"), F.col("n")
+    """at, index, probes: the places of lines and what the near join needs of them, without their texts.
+
+    What keys share is in columns of its own, so that it is computed once a line and not once a key, and the code that
+    Spark writes for the keys stays under the 8,000 bytes of bytecode beyond which the JVM only interprets a method.
+    """
+    wide, n = F.col("wide"), F.col("n")
     near = n >= near_min_chars
-    # The length is a column of its own, so that it is counted once a line and not once a key.
-    firsts = firsts.select("at", "line", F.char_length("line").alias("n"))
-    return firsts.select("at", F.when(near, segment_keys(line, n, edits)).alias("index"), F.when(near, F.array_distinct(probe_keys(line, n, edits))).alias("probes"))
+    firsts = firsts.select("at", F.encode("line", "UTF-32").alias("wide"))
+    firsts = firsts.select("at", "wide", F.floor(F.octet_length("wide") / 4).cast("int").alias("n"))
+    firsts = firsts.select("at", "wide", "n", *[c.alias(name) for name, c in _starts(n, edits).items()])
+    return firsts.select("at", F.when(near, segment_keys(wide, n, edits)).alias("index"), F.when(near, F.array_distinct(probe_keys(wide, n, edits))).alias("probes"))
 
 
 def meeting_lines(lines: DataFrame) -> DataFrame:

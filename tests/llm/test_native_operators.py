@@ -152,6 +152,23 @@ def test_line_dedup_drops_lines_two_edits_away(spark):
     assert {r["doc_id"]: r["dropped"] for r in line_dedup.dropped_lines(spark.createDataFrame([docs[0], docs[3]], "doc_id long, text string")).collect()} == {1: [], 4: []}
 
 
+def test_line_keys_are_compiled(spark):
+    """The JVM only interprets methods of more than 8,000 bytes."""
+    firsts = spark.range(4).selectExpr("cast(id as decimal(31, 0)) as at", "repeat(concat('line ', id), 10) as line")
+    stages = line_dedup.keyed_lines(firsts, 40, 2)._jdf.queryExecution().debug().codegenToSeq()
+    assert 0 < max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.length())) <= 8000
+
+
+def test_line_dedup_counts_code_points(spark):
+    """Lines of characters beyond the basic plane, and of bytes that are no UTF-8."""
+    wide = "".join(chr(0x1F600 + k % 60) for k in range(42))
+    docs = [(1, wide), (2, "x" + wide[:20] + wide[21:]), (3, "xyz" + wide[3:]), (4, "xy" + wide[:30] + "z" + wide[31:]), (5, wide[:39])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    broken = spark.sql("select id as doc_id, cast(concat(X'eda080ff', cast(concat(repeat('broken ', 8), if(id = 7, 'ab', 'cd'), if(id = 8, 'efg', '')) as binary)) as string) as text from range(6, 9)")
+    found = {r["doc_id"]: r["dropped"] for r in line_dedup.dropped_lines(frame.unionAll(broken)).collect()}
+    assert found == {1: [], 2: [0], 3: [], 4: [], 5: [], 6: [], 7: [0], 8: []}
+
+
 @pytest.mark.parametrize("k", [1, 2, 3])
 def test_banded_automaton_equals_edit_distance(spark, k):
     rng = random.Random(k)
