@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialized
+from tessera.llm.common import discarded, materialized
 from tessera.llm.decontamination import decontaminate
 from tessera.llm.line_dedup import dedup_lines
 from tessera.llm.parity_join import keep_one
@@ -62,10 +62,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What a stage keeps is written before the next one reads it more than once."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. What a stage keeps is written before the next one reads it more than once.
+
+    It is deleted when the next stage's rows are written; those that the last stage reads stay.
+    """
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = materialized(docs)
+            discarded(*written)
+            written = [docs]
     return docs

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,21 +65,50 @@ def arrow_column(fn: Callable[[pa.Array], pa.Array], kind: str | T.DataType, *in
     return F.arrow_udf(run, kind)(*inputs)
 
 
+#: Lets Spark delete the shuffle files of a query when it ends; otherwise they stay until the driver collects its garbage.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """For queries whose rows are written: nothing reads their shuffle files again."""
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared checkpoint folder and reads them back: later uses don't compute them again."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with freed_shuffles(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a new plan, which knows of the setting
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """As :func:`checkpointed`, but as compressed Parquet files in a folder of their own: for large tables."""
+    """As :func:`checkpointed`, but as compressed Parquet files in a folder of their own: for large tables.
+
+    The folder stays until :func:`discarded` deletes it.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freed_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`materialized` wrote, as soon as all that is computed from them is written itself."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(folder))
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, width: Column | None = None) -> DataFrame:
     """Marks a table for broadcast if counting its rows shows that it is small enough. It should be written or cheap.
 
@@ -89,4 +119,4 @@ def small(df: DataFrame, width: Column | None = None) -> DataFrame:
     return F.broadcast(df) if seen["n"] <= BROADCAST_ROWS and (seen["bytes"] or 0) <= BROADCAST_BYTES else df
 
 
-__all__ = ["ascii_lower", "arrow_column", "bound_batches", "boxed", "checkpointed", "ensure_checkpoint_dir", "keyed_text", "materialized", "quoted", "small"]
+__all__ = ["ascii_lower", "arrow_column", "bound_batches", "boxed", "checkpointed", "discarded", "ensure_checkpoint_dir", "keyed_text", "materialized", "quoted", "small"]

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import boxed, checkpointed, materialized, quoted, small
+from tessera.llm.common import boxed, checkpointed, discarded, materialized, quoted, small
 
 MIN_CHARS = 20
 NEAR_MIN_CHARS = 40
@@ -221,16 +221,20 @@ def near_copies(lines: DataFrame, rows: DataFrame, edits: int) -> DataFrame:
     likest = pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("least")).select("b", "least.a")
     settled = checkpointed(within(likest))
     rest = pairs.select("a", "b").join(settled.withColumnRenamed("at", "b"), "b", "left_anti")
-    return settled.unionAll(within(rest).distinct())
+    near = checkpointed(settled.unionAll(within(rest).distinct()))
+    discarded(met, text, pairs)
+    return near
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_min_chars: int = NEAR_MIN_CHARS, edits: int = MAX_EDITS) -> DataFrame:
     """(id, kept): sorted numbers of the eligible lines that stay, for each document that keeps any."""
     rows = identified(docs, id_col, text_col)
     lines = materialized(keyed_lines(first_lines(eligible_lines(rows, min_chars)), near_min_chars, edits))
-    near = small(checkpointed(near_copies(lines, rows, edits)))
+    near = small(near_copies(lines, rows, edits))
     places = lines.select("at").join(near, "at", "left_anti")
-    return places.select(*place_of("at")).groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("kept"))
+    kept = materialized(places.select(*place_of("at")).groupBy("id").agg(F.array_sort(F.collect_list("pos")).alias("kept")))
+    discarded(lines)
+    return kept
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_min_chars: int = NEAR_MIN_CHARS, edits: int = MAX_EDITS) -> DataFrame:
