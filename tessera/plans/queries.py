@@ -482,8 +482,8 @@ def _rank_sql(rounds: int) -> str:
 @query(_rank_sql(3), name="pagerank")
 def _pagerank(spark, d):
     supplier, part = F.col("l_suppkey") * 2, F.col("l_partkey") * 2 + 1
-    bought = table(spark, d, "lineitem").df.select(supplier.alias("src"), part.alias("dst")).distinct()
-    edges = bought.unionAll(bought.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = F.array(F.struct(supplier.alias("src"), part.alias("dst")), F.struct(part.alias("src"), supplier.alias("dst")))
+    edges = table(spark, d, "lineitem").df.select(F.inline(both))
     return pagerank(edges, 3).select("node", F.round("rank", 6).alias("rank"))
 
 

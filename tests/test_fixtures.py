@@ -1,5 +1,6 @@
 """Literal pipelines with known answers."""
 
+import importlib
 import os
 import random
 
@@ -180,6 +181,28 @@ def test_pagerank_fixed_point(spark):
     assert all(abs(ranks[i] - 0.6936936936936938) < 1e-7 for i in (2, 3, 4))
 
 
+def test_pagerank_has_partitions_by_the_number_of_edges(spark, monkeypatch):
+    """A task's memory used to grow with the edges, as their number of partitions did not."""
+    module, pairs = importlib.import_module("tessera.plans.pagerank"), [(i % 20, (i * 7) % 50) for i in range(100)]
+    edges = spark.createDataFrame([*pairs, *pairs, (None, 3), (4, None)], "src int, dst int")
+    rounded = lambda ranks: sorted(((r["node"], round(r["rank"], 9)) for r in ranks.collect()), key=str)
+    want = rounded(pagerank(edges, 2))
+    parts, cache = [], type(edges).cache
+
+    def spied(df):
+        parts.append(df.rdd.getNumPartitions())
+        return cache(df)
+
+    monkeypatch.setattr(type(edges), "cache", spied)
+    monkeypatch.setattr(module, "EDGES", 10, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = pagerank(edges, 2)
+    assert parts == [21]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert rounded(found) == want
+    assert pagerank(edges.limit(0), 2).collect() == []
+
+
 def test_pagerank_query_runs_on_all_ids(spark, tmp_path):
     rows = [(1, 51), (51, 1), (1, 101), (1, 51), (101, 1), (2, 2), (50, 100), (7, 250), (51, 250)]
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
